@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pii
+from . import bpe, jaccard_join, mixing, pii, winnowing
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(read(spark, sf_dir, "documents"), k=4, percent=85)
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.compare(read(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(read(spark, sf_dir, "documents")))
 
@@ -20,8 +28,20 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).drop("source")
 
 
+def tokenizer(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[dict[bytes, int], str]:
+    """Ranks and pattern of an installed vocabulary."""
+    import public_tokenizers
+
+    return bpe.read_ranks(public_tokenizers.path(name)), public_tokenizers.PATTERN
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(read(spark, sf_dir, "documents"), *tokenizer(), with_ids=False)
+
+
 def queries() -> dict[str, Query]:
-    return {"op7_pii": op7_pii, "op9_mixing": op9_mixing}
+    found = [op3_jaccard_join, op4_fingerprints, op7_pii, op9_mixing, op10_bpe]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
