@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,9 +27,17 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _load() -> None:
+    """The modules register their queries when they are imported."""
+    for module in ("raster_queries", "graph_queries", "metric_queries"):
+        importlib.import_module(f"basinflow.plans.{module}")
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_ORACLES)
