@@ -244,7 +244,7 @@ def singleton_forest(spark, sf):
     return hierarchy.singleton_forest(edges(spark, sf))
 
 
-@register("mst_edges_region", f"WITH RECURSIVE {RANKS} SELECT image_id, b1 AS u, b2 AS v, depth AS w FROM ranked WHERE depth = bn")
+@register("mst_edges_region", f"WITH RECURSIVE {RANKS} SELECT image_id, b1::BIGINT AS u, b2::BIGINT AS v, depth AS w FROM ranked WHERE depth = bn")
 def mst_edges_region(spark, sf):
     return hierarchy.mst_edges(_regions(spark, sf))
 
@@ -254,7 +254,7 @@ def mst_boruvka_region(spark, sf):
     return hierarchy.boruvka(_regions(spark, sf))
 
 
-@register("merge_rank", f"WITH RECURSIVE {RANKS} SELECT image_id, b1 AS u, b2 AS v, depth AS w, rank FROM ranked")
+@register("merge_rank", f"WITH RECURSIVE {RANKS} SELECT image_id, b1::BIGINT AS u, b2::BIGINT AS v, depth AS w, rank FROM ranked")
 def merge_rank(spark, sf):
     return hierarchy.merge_rank(_regions(spark, sf))
 

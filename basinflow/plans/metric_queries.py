@@ -101,10 +101,10 @@ def stump_search(spark, sf):
     return _cut(learn.stump_search(rows, ["w", "d"]))
 
 
-@register("moving_average", "SELECT event_id, event_type, value, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 200 PRECEDING AND 1 PRECEDING), 6) + 0 AS moving FROM events")
+@register("moving_average", "SELECT event_id, event_type, value, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 200 PRECEDING AND 1 PRECEDING), 10) + 0 AS moving FROM events")
 def moving_average(spark, sf):
     series = table(spark, sf, "events").select("event_id", "event_type", "ts", "value")
-    return _r(metrics.moving_average(series, "event_type", ["ts", "event_id"], "value", 200).drop("ts"), "moving")
+    return _r(metrics.moving_average(series, "event_type", ["ts", "event_id"], "value", 200).drop("ts"), "moving", digits=10)
 
 
 @register("running_best", "SELECT event_id, event_type, value, min(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS best FROM events")
@@ -339,7 +339,7 @@ def logreg_fit(spark, sf):
 
 @register("kmeans_maps")
 def kmeans_maps(spark, sf):
-    p = raster.patches(pixels(spark, sf).filter("image_id < 100"))
+    p = raster.patches(pixels(spark, sf))
     return learn.kmeans_maps(p, "patch", learn.kmeans(p, "patch", 4)).drop("patch")
 
 
