@@ -20,14 +20,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).filter("u != v").distinct()
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).filter("u != v")
         low = large.groupBy("u").agg(F.min("v").alias("low"))
         tied = large.join(low, "u")
         small = tied.filter("v != low").select(F.col("v").alias("u"), F.col("low").alias("v")).union(low.select("u", F.col("low").alias("v")))
         after = stage_table(small.distinct(), "edges")
-        # Stars with their least node in the middle are the end: no node is on both sides.
-        middle = after.select("v").distinct()
-        done = after.join(middle.select(F.col("v").alias("u")), "u", "left_semi").isEmpty() and after.groupBy("u").count().filter("count > 1").isEmpty()
+        # Stars with their least node in the middle are the end: each node has one edge and no
+        # node is on both sides.
+        sides = after.select("u", F.lit(1).alias("n")).union(after.select("v", F.lit(0)).distinct().select("v", F.lit(1)))
+        done = sides.groupBy("u").agg(F.sum("n").alias("n")).filter("n > 1").isEmpty()
         drop_table(pairs)
         pairs = after
         if done:

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import heapq
+from array import array
 from bisect import bisect_left
-from collections import defaultdict
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -15,9 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import blank_if_null, small_batches, stage_table
+from .common import blank_if_null, drop_table, small_batches, stage_table
 from .components import connected_components
 
+#: Bits of the map of documents whose texts are needed again: half a megabyte, whatever the input.
+FILTER_BITS = 1 << 22
+
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _S29, _S32 = np.uint64(29), np.uint64(32)
 
@@ -63,10 +66,11 @@ def shingles(text: str, k: int) -> np.ndarray:
 
 
 class Bands:
-    """Sizes in bands, so that two sets that link lie in the same or in neighbouring bands.
+    """Sizes in bands, each half as wide again as the one before (or as wide as links need).
 
-    Of a link's sets at most `differ` members lie in only one: with more parts than that, by hash
-    of the members, one part is the same in both. Some spare parts make up for empty ones.
+    A link belongs to the band of its larger set. There at most `differ` members lie in only one
+    of its sets: with more parts than that, by hash of the members, one part is the same in both.
+    Some spare parts make up for empty ones.
     """
 
     def __init__(self, percent: int):
@@ -74,7 +78,8 @@ class Bands:
 
     def of(self, n: int) -> int:
         while self.starts[-1] <= n:
-            self.starts.append(self.starts[-1] * 100 // self.percent + 1)
+            last = self.starts[-1]
+            self.starts.append(max(last * 3 // 2, last * 100 // self.percent + 1))
         return int(np.searchsorted(self.starts, n, side="right")) - 1
 
     def parts(self, band: int) -> tuple[int, int]:
@@ -86,11 +91,10 @@ class Bands:
         return differ + 1 + spare, spare
 
     def signatures(self, found: np.ndarray) -> np.ndarray:
-        """For links with sets of its own or of the next band. Sets that hold few members of one
-        shingle hash alike only if they are equal, or by chance, which costs a later look."""
+        """For links with sets up to its own size's band, and up to that of the largest set it may
+        link with. Parts that differ hash alike only by chance, which costs a later look."""
         out = []
-        own = self.of(len(found))
-        for band in (own, own + 1):
+        for band in sorted({self.of(len(found)), self.of(len(found) * 100 // self.percent)}):
             parts, spare = self.parts(band)
             if parts - spare == 1:
                 continue  # only equal sets link, and they are one class already
@@ -104,22 +108,32 @@ class Bands:
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def t_occurrences(lists: list[list[int]], least: int, mu: float = 0.0085) -> list[int]:
+def merged_counts(lists: list[array]) -> tuple[list[int], list[int]]:
+    """The members of sorted lists and in how many each occurs: few by a heap, many by a merge sort
+    of the runs."""
+    if sum(map(len, lists)) <= 256:
+        pairs = [(x, sum(1 for _ in run)) for x, run in groupby(heapq.merge(*lists))]
+        return [x for x, _ in pairs], [n for _, n in pairs]
+    runs = np.concatenate([np.frombuffer(x, np.int32) for x in lists])
+    runs.sort(kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1]]))
+    return runs[starts].tolist(), np.diff(np.append(starts, len(runs))).tolist()
+
+
+def t_occurrences(lists: list[array], least: int, mu: float = 0.0085) -> list[int]:
     """Members of at least `least` of the sorted lists, by DivideSkip.
 
-    The longest lists are set aside; the others are merged from a heap. What occurs in too few of
-    those to reach `least` with all the long ones is skipped, the rest is looked up in the long
-    lists by binary search.
+    The longest lists are set aside and the others merged. What occurs in too few of those to
+    reach `least` with all the long ones is skipped, the rest is looked up in the long lists by
+    binary search.
     """
-    lists = sorted(lists, key=len)
-    if least > len(lists):
+    if not lists or least > len(lists):
         return []
-    longest = len(lists[-1])
-    aside = min(least - 1, int(least / (mu * np.log2(longest + 1) + 1)))
+    lists = sorted(lists, key=len)
+    aside = min(least - 1, int(least / (mu * np.log2(len(lists[-1]) + 1) + 1)))
     short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
     found = []
-    for x, run in groupby(heapq.merge(*short)):
-        count = sum(1 for _ in run)
+    for x, count in zip(*merged_counts(short), strict=True):
         if count < least - aside:
             continue
         for i, values in enumerate(long):
@@ -135,12 +149,17 @@ def t_occurrences(lists: list[list[int]], least: int, mu: float = 0.0085) -> lis
 def linked_groups(ids: list[int], sets: list[np.ndarray], percent: int) -> list[int]:
     """For each set the least id of those that links reach within these sets.
 
-    The inverted lists hold groups found so far rather than sets: a group's members are looked at
-    only where their joint lists reach the overlap that a link needs, and until one links.
+    Sets are taken by size. The inverted lists hold groups found so far rather than sets: a
+    group's members are looked at only where their joint lists reach the overlap that a link
+    needs, and until one links. Groups bear the place of their first set; lists are sorted.
     """
     order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
-    parent = list(range(len(ids)))
+    sets = [sets[i] for i in order]
+    parent = list(range(len(sets)))
     members: dict[int, list[int]] = {}
+    index: dict[int, array] = {}
+    age: dict[int, int] = {}  # of lists brought up to date after so many unions of groups
+    unions = 0
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -148,21 +167,20 @@ def linked_groups(ids: list[int], sets: list[np.ndarray], percent: int) -> list[
             i = parent[i]
         return i
 
-    index: dict[int, list[int]] = defaultdict(list)
-    for i in order:
-        mine, n = sets[i], len(sets[i])
-        keys = mine.tolist()
-        # A smaller set of m members needs percent of the union, so at least percent of n.
+    for i, mine in enumerate(sets):
+        n, keys = len(mine), mine.tolist()
+        # A smaller set needs percent of the union, so at least percent of n.
         least = -(-percent * n // 100)
         lists = []
         for key in keys:
-            if key in index:
-                held = index[key]
-                if len(held) > 1 or parent[held[0]] != held[0]:
-                    held = index[key] = sorted({root(j) for j in held})
+            held = index.get(key)
+            if held is not None:
+                if unions and age.get(key, 0) != unions:
+                    held = index[key] = array("i", sorted({root(j) for j in held}))
+                    age[key] = unions
                 lists.append(held)
-        group, joined = i, []
-        for other in t_occurrences(lists, least) if len(lists) >= least else []:
+        joined = []
+        for other in t_occurrences(lists, least):
             for j in reversed(members[other]):
                 m = len(sets[j])
                 if m * 100 < percent * n:
@@ -171,29 +189,32 @@ def linked_groups(ids: list[int], sets: list[np.ndarray], percent: int) -> list[
                 if 100 * both >= percent * (n + m - both):
                     joined.append(other)
                     break
-        if joined:
-            group = max(joined, key=lambda g: len(members[g]))
-            merged = members[group]
-            for other in joined:
-                if other != group:
-                    parent[other] = group
-                    merged = list(heapq.merge(merged, members.pop(other), key=lambda j: (len(sets[j]), ids[j])))
-            parent[i] = group
-            merged.append(i)
-            members[group] = merged
-        else:
-            members[i] = [i]
+        group = min(joined, default=i)
+        for other in joined:
+            if other != group:
+                parent[other] = group
+                members[group] = list(heapq.merge(members[group], members.pop(other)))
+                unions += 1
+        parent[i] = group
+        members.setdefault(group, []).append(i)
         for key in keys:
-            held = index[key]
-            if group not in held[-1:]:
-                held.append(group)
-                if len(held) > 1 and held[-2] > group:
-                    held.sort()
-    least_id = {g: min(ids[j] for j in m) for g, m in members.items()}
-    return [least_id[root(i)] for i in range(len(ids))]
-
-
-def join(docs: DataFrame, k: int = 5, percent: int = 80, cell_docs: int = 512, cell_shingles: int = 1_000_000) -> DataFrame:
+            held = index.get(key)
+            if held is None:
+                index[key] = array("i", (group,))
+                if unions:
+                    age[key] = unions
+            else:
+                at = bisect_left(held, group)
+                if at == len(held) or held[at] != group:
+                    held.insert(at, group)
+    least_id = {g: min(ids[order[j]] for j in m) for g, m in members.items()}
+    out = [0] * len(ids)
+    for place, i in enumerate(order):
+        out[i] = least_id[root(place)]
+    return out
+
+
+def join(docs: DataFrame, k: int = 5, percent: int = 80, cell_docs: int = 4096, cell_shingles: int = 1_000_000) -> DataFrame:
     """Groups documents that links reach: sets of k-word shingles whose intersection is at least
     `percent` hundredths of their union.
 
@@ -206,55 +227,73 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, cell_docs: int = 512, c
 
     1. Equal sets make one class, by a digest; its smallest id stands for it.
     2. Each class sends signatures of parts of its set; links share at least one (see Bands). Who
-       shares one is tied to the smallest id there, and what ties reach is a cluster.
-    3. A cluster's sets are searched together (t_occurrences). A cluster over cell_docs sets or
+       shares one is tied to the smallest id there, and an id with those tied to it is a star.
+    3. A star's sets are searched together (t_occurrences). A star over cell_docs sets or
        cell_shingles members is cut into chunks and every two chunks are searched in a cell of
-       their own. Cells give each set's least linked id, not its links, and these ties meet in the end.
+       their own. Cells give each set's least linked id, not its links, and these meet in the end.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select("doc_id", blank_if_null("text").alias("text"))
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(percent)
+        bands, seen = Bands(percent), set()
         for batch in batches:
             sizes, digests, marks = [], [], []
             for text in batch.column(1):
                 found = shingles(text.as_py(), k)
                 sizes.append(len(found))
                 digests.append(xxhash.xxh128_digest(found.tobytes()))
-                marks.append(bands.signatures(found).view(np.int64) if len(found) else np.zeros(0, np.int64))
+                # One of a task's equal sets speaks for them.
+                fresh = len(found) > 0 and digests[-1] not in seen
+                marks.append(bands.signatures(found).view(np.int64) if fresh else np.zeros(0, np.int64))
+                if len(seen) >= 1_000_000:
+                    seen.clear()
+                seen.add(digests[-1])
             offsets = np.concatenate([[0], np.cumsum([len(m) for m in marks])]).astype(np.int32)
             values = np.concatenate(marks) if marks else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(offsets, values)], ["doc_id", "n", "digest", "marks"])
 
-    sets = stage_table(rows.mapInArrow(summarise, "doc_id long, n long, digest binary, marks array<long>"), "join-sets")
-    filled = sets.filter("n > 0")
-    classes = stage_table(filled.groupBy("digest").agg(F.min("doc_id").alias("head"), F.max("n").alias("n")), "join-classes")
+    marked = stage_table(rows.mapInArrow(summarise, "doc_id long, n long, digest binary, marks array<long>"), "join-marks")
+    sets = stage_table(marked.select("doc_id", "n", "digest"), "join-sets")
+    classes = stage_table(sets.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("head"), F.max("n").alias("n")), "join-classes")
 
-    marks = filled.join(classes.filter("head is not null").select("digest", "head"), "digest").filter("doc_id = head")
-    marks = marks.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct("marks")).alias("mark"))
+    marks = marked.filter("doc_id is not null").select(F.col("doc_id").alias("id"), F.explode(F.array_distinct("marks")).alias("mark"))
     ties = marks.select("id", F.min("id").over(W.partitionBy("mark")).alias("low")).filter("id != low").distinct()
-    clusters = connected_components(ties.select(F.col("id").alias("u"), F.col("low").alias("v")))
-
-    sized = clusters.join(classes.groupBy(F.col("head").alias("node")).agg(F.max("n").alias("n")), "node")
-    sized = stage_table(sized.select("node", "component", "n"), "join-clusters")
-    totals = sized.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / cell_docs), F.ceil(F.sum("n") / cell_shingles)).cast("int").alias("chunks"))
-    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    cells = sized.join(totals, "component").withColumn("chunk", chunk)
+    ties = stage_table(ties, "join-speakers")
+    drop_table(marked)
+    # Ties of sets are ties of their classes' heads.
+    named = sets.filter("n > 0 and doc_id is not null").join(classes.select("digest", "head"), "digest").select("doc_id", "head").distinct()
+    ties = ties.join(named.select(F.col("doc_id").alias("id"), F.col("head").alias("a")), "id").join(named.select(F.col("doc_id").alias("low"), F.col("head").alias("b")), "low")
+    ties = ties.filter("a != b").select(F.col("a").alias("id"), F.col("b").alias("low")).distinct()
+    # Two that share a mark are both tied to its low id, or one is it: stars hold all links.
+    stars = stage_table(ties, "join-ties")
+    stars = stars.union(stars.select("low", "low").distinct())
+    sized = stage_table(stars.join(classes.groupBy(F.col("head").alias("id")).agg(F.max("n").alias("n")), "id"), "join-stars")
+    totals = sized.groupBy("low").agg(F.greatest(F.ceil(F.count(F.lit(1)) / cell_docs), F.ceil(F.sum("n") / cell_shingles)).cast("int").alias("chunks"))
+    chunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
+    cells = sized.join(totals, "low").withColumn("chunk", chunk)
     other = F.explode(F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: c != F.col("chunk"))))
-    cells = cells.select("node", "component", "chunk", other.alias("other"))
-    cells = cells.select("node", "component", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"))
+    cells = cells.select(F.col("id").alias("node"), "low", "chunk", other.alias("other"))
+    cells = cells.select("node", "low", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"))
+
+    # The texts of heads in stars are read again, so that sets needn't be kept for all. A bit map
+    # of fixed size passes over most other texts; the join that follows is exact.
+    bits = sized.select(F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("h")).groupBy(F.floor(F.col("h") / 64).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("h") % 64).cast("int"))).alias("bits")).toPandas()
+    table = np.zeros(FILTER_BITS // 64, np.int64)
+    table[bits["word"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64)
+    passed = spark.sparkContext.broadcast(table)
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles(t.as_py(), k).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "found"])
+            h = batch.column(2).to_numpy()
+            keep = np.flatnonzero(passed.value[h >> 6] >> (h & 63) & 1)
+            found = [shingles(batch.column(1)[i].as_py(), k).view(np.int64) for i in keep]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), pa.array(found, pa.list_(pa.int64()))], ["id", "found"])
 
-    # The texts of class heads in clusters are read again, so that sets needn't be kept for all.
-    needed = rows.join(sized.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    loaded = needed.mapInArrow(load, "id long, found array<long>")
-    dealt = loaded.join(cells, F.col("id") == F.col("node")).select("component", "a", "b", "id", "found")
+    hashed = rows.filter("doc_id is not null").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
+    loaded = hashed.mapInArrow(load, "id long, found array<long>")
+    dealt = loaded.join(cells, F.col("id") == F.col("node")).select("low", "a", "b", "id", "found")
 
     def search(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_pylist()
@@ -262,7 +301,7 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, cell_docs: int = 512, c
         low = linked_groups(ids, found, percent)
         return pa.table({"u": pa.array(ids, pa.int64()), "v": pa.array(low, pa.int64())})
 
-    links = dealt.groupBy("component", "a", "b").applyInArrow(search, "u long, v long").filter("u != v").distinct()
+    links = dealt.groupBy("low", "a", "b").applyInArrow(search, "u long, v long").filter("u != v").distinct()
     groups = stage_table(connected_components(links), "join-groups")
 
     heads = classes.join(groups.select(F.col("node").alias("head"), "component"), "head", "left").select("digest", F.coalesce("component", "head").alias("component"))
