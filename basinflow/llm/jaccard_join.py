@@ -20,6 +20,8 @@ from .components import connected_components
 
 #: Bits of the map of documents whose texts are needed again: half a megabyte, whatever the input.
 FILTER_BITS = 1 << 22
+#: How often a star moves to its centre's lowest tie.
+HOPS = 3
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _S29, _S32 = np.uint64(29), np.uint64(32)
@@ -267,9 +269,15 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, cell_docs: int = 4096,
     ties = ties.join(named.select(F.col("doc_id").alias("id"), F.col("head").alias("a")), "id").join(named.select(F.col("doc_id").alias("low"), F.col("head").alias("b")), "low")
     ties = ties.filter("a != b").select(F.col("a").alias("id"), F.col("b").alias("low")).distinct()
     # Two that share a mark are both tied to its low id, or one is it: stars hold all links.
-    stars = stage_table(ties, "join-ties")
-    stars = stars.union(stars.select("low", "low").distinct())
-    sized = stage_table(stars.join(classes.groupBy(F.col("head").alias("id")).agg(F.max("n").alias("n")), "id"), "join-stars")
+    # Moving a star to its centre's own lowest tie keeps them together and lets stars that overlap
+    # become one, so that most sets are sent to one cell.
+    ties = stage_table(ties, "join-ties")
+    hop = ties.groupBy("id").agg(F.min("low").alias("to")).withColumnRenamed("id", "low")
+    stars = ties.union(ties.select("low", "low").distinct())
+    for _ in range(HOPS):
+        stars = stars.join(hop, "low", "left").select("id", F.least("low", "to").alias("low"))
+    stars = stars.distinct()
+    sized = stage_table(stars.join(classes.groupBy(F.col("head").alias("id")).agg(F.max("n").alias("n")), "id"), "join-sized")
     totals = sized.groupBy("low").agg(F.greatest(F.ceil(F.count(F.lit(1)) / cell_docs), F.ceil(F.sum("n") / cell_shingles)).cast("int").alias("chunks"))
     chunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
     cells = sized.join(totals, "low").withColumn("chunk", chunk)
