@@ -45,7 +45,7 @@ class Vocabulary:
 
     def beside(self, left: int, right: int) -> bool:
         """Whether BPE on the bytes of both leaves exactly these two tokens; remembered."""
-        if len(self.pairs) > 1_000_000:
+        if len(self.pairs) > 500_000:
             self.pairs.clear()
         stands = self.pairs[left << 24 | right] = self._stands(left, right)
         return stands
@@ -145,7 +145,7 @@ class Piece:
 class Encoder:
     """Text to ids and back. Caches are bounded by entries and by the length of what they keep."""
 
-    CHUNKS, PIECES, LONG = 800_000, 300_000, 64
+    CHUNKS, PIECES, LONG = 400_000, 150_000, 64
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary, self.pattern = vocabulary, regex.compile(pattern)

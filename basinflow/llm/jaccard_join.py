@@ -35,10 +35,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """64-bit hashes of words; forgets all when it has grown to a million."""
+    """64-bit hashes of words; forgets all when it has grown to a quarter of a million."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 250_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -249,7 +249,7 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, cell_docs: int = 4096,
                 # One of a task's equal sets speaks for them.
                 fresh = len(found) > 0 and digests[-1] not in seen
                 marks.append(bands.signatures(found).view(np.int64) if fresh else np.zeros(0, np.int64))
-                if len(seen) >= 1_000_000:
+                if len(seen) >= 250_000:
                     seen.clear()
                 seen.add(digests[-1])
             offsets = np.concatenate([[0], np.cumsum([len(m) for m in marks])]).astype(np.int32)
