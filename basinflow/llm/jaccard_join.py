@@ -11,6 +11,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -286,26 +287,29 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, cell_docs: int = 4096,
     cells = cells.select("node", "low", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"))
 
     # The texts of heads in stars are read again, so that sets needn't be kept for all. A bit map
-    # of fixed size passes over most other texts; the join that follows is exact.
+    # of fixed size passes over most other texts; the join that follows is exact. Texts go to the
+    # cells compressed, in a fraction of their sets' bytes, since hashes can't be compressed.
     bits = sized.select(F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("h")).groupBy(F.floor(F.col("h") / 64).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("h") % 64).cast("int"))).alias("bits")).toPandas()
     table = np.zeros(FILTER_BITS // 64, np.int64)
     table[bits["word"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64)
     passed = spark.sparkContext.broadcast(table)
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             h = batch.column(2).to_numpy()
             keep = np.flatnonzero(passed.value[h >> 6] >> (h & 63) & 1)
-            found = [shingles(batch.column(1)[i].as_py(), k).view(np.int64) for i in keep]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), pa.array(found, pa.list_(pa.int64()))], ["id", "found"])
+            packed = [pack.compress(batch.column(1)[i].as_py().encode().lower()) for i in keep]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(packed, pa.binary())], ["id", "packed"])
 
     hashed = rows.filter("doc_id is not null").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
-    loaded = hashed.mapInArrow(load, "id long, found array<long>")
-    dealt = loaded.join(cells, F.col("id") == F.col("node")).select("low", "a", "b", "id", "found")
+    loaded = hashed.mapInArrow(load, "id long, packed binary")
+    dealt = loaded.join(cells, F.col("id") == F.col("node")).select("low", "a", "b", "id", "packed")
 
     def search(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_pylist()
-        found = [np.asarray(x.values).view(np.uint64) for x in table.column("found")]
+        unpack = zstandard.ZstdDecompressor()
+        found = [shingles(unpack.decompress(x.as_py()).decode(), k) for x in table.column("packed")]
         low = linked_groups(ids, found, percent)
         return pa.table({"u": pa.array(ids, pa.int64()), "v": pa.array(low, pa.int64())})
 
