@@ -149,6 +149,18 @@ def t_occurrences(lists: list[array], least: int, mu: float = 0.0085) -> list[in
     return found
 
 
+def numbered(sets: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
+    """The members of each set that lie in another one too, as sorted numbers from 0, and how many
+    numbers there are. What only one set holds is in no overlap."""
+    if not sets:
+        return [], 0
+    names, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = times > 1
+    renumbered = (np.cumsum(common) - 1).astype(np.int32)
+    cuts = np.cumsum([len(x) for x in sets])[:-1]
+    return [renumbered[x[common[x]]] for x in np.split(number, cuts)], int(common.sum())
+
+
 def linked_groups(ids: list[int], sets: list[np.ndarray], percent: int) -> list[int]:
     """For each set the least id of those that links reach within these sets.
 
@@ -157,11 +169,12 @@ def linked_groups(ids: list[int], sets: list[np.ndarray], percent: int) -> list[
     needs, and until one links. Groups bear the place of their first set; lists are sorted.
     """
     order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
-    sets = [sets[i] for i in order]
+    sizes = [len(sets[i]) for i in order]
+    sets, keys_used = numbered([sets[i] for i in order])
     parent = list(range(len(sets)))
     members: dict[int, list[int]] = {}
-    index: dict[int, array] = {}
-    age: dict[int, int] = {}  # of lists brought up to date after so many unions of groups
+    index: list[array | None] = [None] * keys_used
+    age = array("i", bytes(4 * keys_used))  # of lists brought up to date after so many unions of groups
     unions = 0
 
     def root(i: int) -> int:
@@ -171,21 +184,21 @@ def linked_groups(ids: list[int], sets: list[np.ndarray], percent: int) -> list[
         return i
 
     for i, mine in enumerate(sets):
-        n, keys = len(mine), mine.tolist()
+        n, keys = sizes[i], mine.tolist()
         # A smaller set needs percent of the union, so at least percent of n.
         least = -(-percent * n // 100)
         lists = []
         for key in keys:
-            held = index.get(key)
+            held = index[key]
             if held is not None:
-                if unions and age.get(key, 0) != unions:
+                if unions and age[key] != unions:
                     held = index[key] = array("i", sorted({root(j) for j in held}))
                     age[key] = unions
                 lists.append(held)
         joined = []
         for other in t_occurrences(lists, least):
             for j in reversed(members[other]):
-                m = len(sets[j])
+                m = sizes[j]
                 if m * 100 < percent * n:
                     break  # members lie by size, so the rest is smaller still
                 both = len(np.intersect1d(mine, sets[j], assume_unique=True))
@@ -201,11 +214,10 @@ def linked_groups(ids: list[int], sets: list[np.ndarray], percent: int) -> list[
         parent[i] = group
         members.setdefault(group, []).append(i)
         for key in keys:
-            held = index.get(key)
+            held = index[key]
             if held is None:
                 index[key] = array("i", (group,))
-                if unions:
-                    age[key] = unions
+                age[key] = unions
             else:
                 at = bisect_left(held, group)
                 if at == len(held) or held[at] != group:
