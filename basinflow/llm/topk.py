@@ -26,7 +26,8 @@ class SortedLists:
         Every list is read from the end that the query's sign favours, in rounds of growing depth;
         rows met first are scored in full at once. No row unseen so far can score above the sum of
         the products at the current depth: when the k-th score is greater than that, it ends. Equal
-        isn't enough, since an unseen row may tie and have a smaller id.
+        isn't enough, since an unseen row may tie and have a smaller id. It also ends when every
+        row has been met.
         """
         n = len(self.ids)
         live = np.flatnonzero(query)
@@ -53,6 +54,8 @@ class SortedLists:
                 keep = np.lexsort((best_rows, -best))[:k]
                 best_rows, best = best_rows[keep], best[keep]
             depth, step = stop, step * 2
+            if seen.all():
+                break  # every row is scored
             if len(best) >= k and depth < n:
                 edge = np.where(up, self.values[n - depth, live], self.values[depth - 1, live])
                 if best.min() > edge @ q:
