@@ -26,6 +26,7 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
+        self.decimal = {i: str(i) for i in self.bytes_of}
         self.longest = max(map(len, ranks), default=1)
         self.split: dict[int, tuple[int, int] | None] = {}
         self.pairs: dict[int, bool] = {}
@@ -142,17 +143,37 @@ class Piece:
         return out[::-1]
 
 
+class Recent:
+    """A bounded cache of two generations: when the young one is full it becomes the old one, and
+    what is asked for again moves back, so that frequent keys outlive rare ones."""
+
+    def __init__(self, bound: int):
+        self.half, self.young, self.old = bound // 2, {}, {}
+
+    def get(self, key, default=None):
+        found = self.young.get(key, self)
+        if found is self:
+            found = self.old.get(key, self)
+            if found is self:
+                return default
+            self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.half:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 class Encoder:
     """Text to ids and back. Caches are bounded by entries and by the length of what they keep."""
 
-    CHUNKS, PIECES, LONG = 400_000, 150_000, 64
+    CHUNKS, PIECES, LONG = 600_000, 200_000, 64
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary, self.pattern = vocabulary, regex.compile(pattern)
         self.blank = regex.compile(r"\s").match
-        self.chunks: dict[str, tuple[int, ...] | None] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.decoded: dict[tuple[int, ...], bytes] = {}
+        self.chunks, self.pieces = Recent(self.CHUNKS), Recent(self.PIECES)
 
     def piece(self, text: str) -> tuple[int, ...]:
         ids = self.pieces.get(text)
@@ -161,30 +182,33 @@ class Encoder:
             whole = self.vocabulary.ranks.get(data)
             ids = (whole,) if whole is not None else tuple(Piece(self.vocabulary, data).ids())
             if len(text) <= self.LONG:
-                if len(self.pieces) >= self.PIECES:
-                    self.pieces.clear()
-                self.pieces[text] = ids
+                self.pieces.put(text, ids)
         return ids
 
     def _run(self, text: str) -> tuple[int, ...]:
         return tuple(chain.from_iterable(map(self.piece, self.pattern.findall(text))))
 
+    def _cut(self, x: str) -> tuple[int, ...] | None:
+        ids = self.chunks.get(x, 0)
+        if ids == 0:
+            # An empty cut or one that begins with white space isn't one; the whole text is then matched at once.
+            ids = None if not x or self.blank(x) else self._run(" " + x)
+            if len(x) <= self.LONG:
+                self.chunks.put(x, ids)
+        return ids
+
     def encode(self, text: str) -> list[int]:
         """A boundary between matches always lies before a blank that something other than white
         space follows, so the text is cut there first and equal cuts are encoded once."""
         if not text:
             return []
         first, *rest = text.split(" ")
-        found, chunks = [self._run(first)], self.chunks
+        found, young = [self._run(first)], self.chunks.young
         for x in rest:
-            ids = chunks.get(x, 0)
+            ids = young.get(x, 0)
             if ids == 0:
-                # An empty cut or one that begins with white space isn't one; the whole text is then matched at once.
-                ids = None if not x or self.blank(x) else self._run(" " + x)
-                if len(x) <= self.LONG:
-                    if len(chunks) >= self.CHUNKS:
-                        chunks.clear()
-                    chunks[x] = ids
+                ids = self._cut(x)
+                young = self.chunks.young
             if ids is None:
                 return list(self._run(text))
             found.append(ids)
@@ -262,9 +286,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: boo
         encoder = _worker_encoder(packed.value, pattern)
         for batch in batches:
             out = []
+            decimal = encoder.vocabulary.decimal.__getitem__
             for text in batch.column(1):
                 ids = encoder.encode(text.as_py())
-                out.append((len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(encoder.decode(ids)).hexdigest(), ids))
+                out.append((len(ids), hashlib.sha256(",".join(map(decimal, ids)).encode()).hexdigest(), hashlib.sha256(encoder.decode(ids)).hexdigest(), ids))
             n, ids_sha, text_sha, all_ids = zip(*out) if out else ((), (), (), ())
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
