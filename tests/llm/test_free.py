@@ -200,3 +200,27 @@ def test_classifier_on_held_out_rows(spark):
     scored = quality.score(spark.read.parquet(f"{sf}/documents.parquet"), labels).join(labels, "doc_id").filter("held_out").toPandas()
     assert (scored.predicted == scored.quality).mean() > 0.95
     assert scored.score.between(0, 1).all()
+
+
+def test_groups_of_a_cell_are_those_of_all_pairs():
+    draw = random.Random(3)
+    for _ in range(60):
+        bases = [draw.sample(range(60), 20) for _ in range(4)]
+        sets = [set(draw.choice(bases)) | {draw.randrange(200) for _ in range(draw.randint(0, 3))} for _ in range(25)] + [set()]
+        ids, percent = draw.sample(range(1000), len(sets)), draw.choice([60, 80, 85])
+        want = list(ids)
+        for _ in sets:  # minima spread along links
+            for i, a in enumerate(sets):
+                want[i] = min([want[i]] + [want[j] for j, b in enumerate(sets) if a & b and 100 * len(a & b) >= percent * len(a | b)])
+        assert jaccard_join.linked_groups(ids, [np.array(sorted(x), np.uint64) for x in sets], percent) == want
+    assert jaccard_join.linked_groups([], [], 80) == []
+
+
+def test_frequent_keys_outlive_rare_ones():
+    cache = bpe.Recent(20)
+    cache.put("often", None)
+    for i in range(1000):
+        cache.put(i, i)
+        assert cache.get("often", 0) is None
+        assert len(cache.young) + len(cache.old) <= 20
+    assert cache.get(0) is None and cache.get(999) == 999
