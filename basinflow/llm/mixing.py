@@ -10,6 +10,8 @@ from .common import WORD, blank_if_null, stage_table
 
 #: The first primes above 10^9; each is coprime with any smaller block count.
 PRIMES = (1000000007, 1000000009, 1000000021, 1000000033, 1000000087, 1000000093, 1000000097, 1000000103)
+#: Shards whose documents are rounded to whole copies together, and the parts of a copy that are counted.
+ROUND_SHARDS, PARTS = 4, 1 << 32
 
 
 def _draw(salt: str, *parts: Column) -> Column:
@@ -44,6 +46,44 @@ def mix(
     texts and texts without words have size 0 and take 0; an empty table gives no rows; rows that
     repeat a doc_id count each by itself; a null doc_id is placed as any other value.
     """
+    return _mixed(docs, weights, share, most, block, shard_docs, seed).drop("shard")
+
+
+def copies(
+    docs: DataFrame,
+    weights: tuple[float, ...] = (5, 2, 1),
+    share: float = 1.5,
+    most: int = 2,
+    block: int = 32,
+    shard_docs: int = 512,
+    seed: str = "mix",
+) -> DataFrame:
+    """How often a mix emits each document as a whole, so that a source emits the words `mix` takes of it.
+
+    Copies are taken / size, rounded down or up. In each source and ROUND_SHARDS shards the
+    remainders are added up from a seeded start, documents by size, and a document with which the
+    sum passes a whole number has one copy more. So over all starts a document has taken / size
+    copies in the mean, and the words emitted there differ from those taken by less than the
+    largest document has.
+
+    Returns doc_id, size, target, taken, source and copies for every row, as `mix` does; documents
+    of size 0 have 0 copies.
+    """
+    mixed = _mixed(docs, weights, share, most, block, shard_docs, seed)
+    mixed = mixed.withColumn("part", F.floor(F.col("shard") / ROUND_SHARDS)).withColumn("whole", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(0)))
+    rest = F.col("taken") - F.col("whole") * F.col("size")
+    mixed = mixed.withColumn("rest", F.when(F.col("size") > 0, F.floor(rest * F.lit(PARTS) / F.col("size"))).otherwise(F.lit(0)).cast("long"))
+    drawn = _draw(f"{seed}:round", F.col("doc_id").cast("string"))
+    order = W.partitionBy("source", "part").orderBy("size", drawn, "doc_id", "taken")
+    start = F.pmod(_draw(f"{seed}:start", F.coalesce(F.concat(F.lit("0"), F.col("source")), F.lit("1")), F.col("part").cast("string")), F.lit(PARTS))
+    passed = F.sum("rest").over(order.rowsBetween(W.unboundedPreceding, 0)) + start
+    mixed = mixed.withColumn("passed", passed)
+    more = F.floor(F.col("passed") / PARTS) - F.floor((F.col("passed") - F.col("rest")) / PARTS)
+    return mixed.select("doc_id", "size", "target", "taken", "source", (F.col("whole") + more).cast("int").alias("copies"))
+
+
+def _mixed(docs: DataFrame, weights: tuple[float, ...], share: float, most: int, block: int, shard_docs: int, seed: str) -> DataFrame:
+    """What `mix` returns, with the shard."""
     if most < 1 or share > most:
         raise ValueError("share can't exceed most")
     words = F.regexp_count(blank_if_null("text"), F.lit(WORD)).cast("long")
@@ -121,7 +161,7 @@ def _taken(placed: DataFrame, block: int, seed: str) -> DataFrame:
     blocks = F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("stop") - 1) / block))
     once_more = F.aggregate(blocks, F.lit(0).cast("long"), lambda acc, b: acc + words(b))
     taken = F.when(F.col("size") > 0, F.col("whole") * F.col("size") + once_more).otherwise(F.lit(0).cast("long"))
-    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.when(F.col("skey") != "1", F.substring("skey", 2, 1 << 30)).alias("source"))
+    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.when(F.col("skey") != "1", F.substring("skey", 2, 1 << 30)).alias("source"), "shard")
 
 
 #: The same mix in DuckDB, with the default parameters; md5 draws agree on both sides.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from basinflow.llm import bpe, jaccard_join, mixing, pii, quality
 from basinflow.llm.catalog import tokenizer
-from basinflow.llm.common import read, stage_table
+from basinflow.llm.common import WORD, blank_if_null, read, stage_table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,11 +38,21 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document is repeated as often as its share of taken words, rounded, tells: 0 to 2 times."""
-    mixed = mixing.mix(docs).filter("size > 0").select(F.col("doc_id").alias("_id"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_times"))
-    times = mixed.groupBy("_id").agg(F.max("_times").alias("_times")).filter("_times > 0")
-    chosen = docs.join(times, docs["doc_id"].eqNullSafe(times["_id"])).drop("_id")
-    return chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).drop("_copy", "_times")
+    """Each document is repeated 0 to 2 times, so that each source emits the words the mix takes of it.
+
+    Rows of one id, source and size are alike for the mix: their copies are dealt among them.
+    """
+    key = {
+        "_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
+        "_source": F.coalesce(F.concat(F.lit("0"), F.col("source")), F.lit("1")),
+        "size": F.regexp_count(blank_if_null("text"), F.lit(WORD)).cast("long"),
+    }
+    copies = mixing.copies(docs).filter("copies > 0").withColumns({k: key[k] for k in ("_id", "_source")})
+    copies = copies.groupBy(*key).agg(F.array_sort(F.collect_list("copies")).alias("_copies"))
+    chosen = docs.withColumns(key).join(copies, list(key))
+    nth = F.row_number().over(W.partitionBy(*key).orderBy(F.xxhash64("text")))
+    chosen = chosen.withColumn("_times", F.get("_copies", nth - 1)).filter("_times > 0")
+    return chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,4 +1,9 @@
+import random
+
+import pytest
+
 import corpus_pipeline
+from basinflow.llm import mixing
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,3 +23,18 @@ def test_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_sources_emit_the_words_of_their_targets(spark):
+    draw = random.Random(5)
+    sources = ["s00", "s01", "s02"] * 2 + [f"s{i:02}" for i in range(3, 20)] + ["s02"] * 8 + [None]
+    rows = [(None if i % 50 == 0 else i, "w " * (1 + int(draw.lognormvariate(4.5, 0.8))) + str(i), draw.choice(sources)) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    targets = {r.source: r.target for r in mixing.mix(docs).select("source", "target").distinct().collect()}
+    out = corpus_pipeline.mixing_stage(spark, docs, SF)
+    assert out.columns == docs.columns
+    emitted = {r.source: r.n for r in out.selectExpr("source", "size(split(text, ' ')) as n").groupBy("source").sum("n").withColumnRenamed("sum(n)", "n").collect()}
+    print({s: (round(t), emitted.get(s, 0)) for s, t in targets.items()})
+    for source, target in targets.items():
+        assert emitted.get(source, 0) == pytest.approx(target, rel=0.04, abs=500), source
+    assert out.groupBy("text").count().agg({"count": "max"}).first()[0] == 2
