@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,9 +16,11 @@ from .jaccard_join import mixed, word_hashes
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 #: The key under which the number of all words is counted.
 _ALL = np.uint64(0x5851F42D4C957F2D)
+#: How many words of a block are scored at once.
+_WORDS_AT_ONCE = 1 << 18
 
 
-def _keys(texts: list[str], order: int) -> tuple[list[np.ndarray], np.ndarray]:
+def _keys(texts: Iterable[str], order: int) -> tuple[list[np.ndarray], np.ndarray]:
     """For each order the keys of the n-grams that end at each word, 0 where the document is too
     short before it; and where documents begin and end."""
     hashes = [word_hashes(t) for t in texts]
@@ -32,17 +37,33 @@ def _keys(texts: list[str], order: int) -> tuple[list[np.ndarray], np.ndarray]:
     return grams, ends
 
 
-def _table(grams: list[np.ndarray], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct keys by bucket, their counts, and where each bucket begins and ends."""
-    flat = np.concatenate(grams)
-    keys, counts = np.unique(flat[flat != 0], return_counts=True)
-    keys, counts = np.append(keys, _ALL), np.append(counts, len(grams[0]))
-    bucket = (mixed(keys) >> np.uint64(20)) % np.uint64(buckets)
-    order = np.argsort(bucket, kind="stable")
-    return keys[order], counts[order], np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+def _table(grams: list[np.ndarray], buckets: int, places: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """The distinct keys in order, their counts, where each bucket, a range of keys, begins and ends,
+    and if asked for where each gram and at last the number of words lie. Absent grams lie at 0, the
+    key 0, which is there even if no gram is absent and isn't in any bucket."""
+    words = len(grams[0])
+    flat = np.concatenate([np.zeros(1, np.uint64), *grams, np.array([_ALL])])
+    grams.clear()
+    found = np.unique(flat, return_inverse=places, return_counts=True)
+    keys, counts = found[0], found[-1]
+    counts[np.searchsorted(keys, _ALL)] = words
+    starts = np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)
+    at = np.append(np.maximum(np.searchsorted(keys, starts), 1), len(keys))
+    return keys, counts, at, found[1][1:].astype(np.int32) if places else None
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers as compressed planes of their bytes, the lowest first."""
+    values = values.astype("<u8", copy=False)
+    return zstandard.ZstdCompressor(level=1).compress(values.view(np.uint8).reshape(-1, 8).T.tobytes())
+
 
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").reshape(-1)
 
-def score(docs: DataFrame, order: int = 2, alpha: float = 0.4, leave_out: bool = True, block_chars: int = 16_000_000) -> DataFrame:
+
+def score(docs: DataFrame, order: int = 2, alpha: float = 0.4, leave_out: bool = True, block_chars: int = 12_000_000) -> DataFrame:
     """The sum of the logarithms of the stupid-backoff scores of a document's words.
 
     docs: doc_id, text; more columns are ignored. Words are runs of other than ASCII white space,
@@ -54,7 +75,8 @@ def score(docs: DataFrame, order: int = 2, alpha: float = 0.4, leave_out: bool =
 
     Documents lie in blocks of about block_chars characters. Blocks send their distinct n-grams
     with counts to buckets by hash; a bucket's count table answers every block, which joins the
-    answers to its exploded n-grams and sums by document. A frequent n-gram costs one entry a
+    answers to its exploded n-grams and sums by document. Texts are sent compressed; a bucket's keys
+    as compressed differences, since they are sorted. A frequent n-gram costs one entry a
     block. Counts come from all documents and are exact but for collisions of 64-bit hashes.
 
     Returns doc_id, n_words, log_score and mean_log_score. Null texts and texts without words have
@@ -65,81 +87,92 @@ def score(docs: DataFrame, order: int = 2, alpha: float = 0.4, leave_out: bool =
     total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(-(-total // block_chars), 1)
     buckets = max(blocks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", blank_if_null("text").alias("text"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)))
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            packed = [z.compress(t.as_py().encode()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(packed, pa.binary())], ["doc_id", "block", "packed"])
+
+    rows = rows.mapInArrow(pack, f"doc_id {kind}, block long, packed binary")
+
+    def grams_of(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
+        z = zstandard.ZstdDecompressor()
+        return _keys((z.decompress(x.as_py()).decode() for x in table.column("packed")), order)
+
     def count(table: pa.Table) -> pa.Table:
-        grams, _ = _keys(table.column("text").to_pylist(), order)
-        keys, counts, at = _table(grams, buckets)
+        keys, counts, at, _ = _table(grams_of(table)[0], buckets)
         used = np.flatnonzero(np.diff(at))
         block = table.column("block")[0].as_py()
         return pa.table(
             {
                 "bucket": pa.array(used, pa.int64()),
                 "block": pa.array(np.full(len(used), block), pa.int64()),
-                "keys": pa.array([keys[at[b] : at[b + 1]].tobytes() for b in used], pa.binary()),
-                "counts": pa.array([counts[at[b] : at[b + 1]].astype("<u4").tobytes() for b in used], pa.binary()),
+                "keys": pa.array([_packed(np.diff(keys[at[b] : at[b + 1]], prepend=np.uint64(0))) for b in used], pa.binary()),
+                "counts": pa.array([_packed(counts[at[b] : at[b + 1]]) for b in used], pa.binary()),
             }
         )
 
     asked = rows.groupBy("block").applyInArrow(count, "bucket long, block long, keys binary, counts binary")
 
     def answer(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("keys")]
-        counts = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table.column("counts")])
-        _, where = np.unique(np.concatenate(parts), return_inverse=True)
-        sums = np.bincount(where, counts)[where].astype("<u8")
+        parts = [np.cumsum(_unpacked(x.as_py()), dtype=np.uint64) for x in table.column("keys")]
+        counts = np.concatenate([_unpacked(x.as_py()) for x in table.column("counts")])
         ends = np.cumsum([0, *map(len, parts)])
-        small = [sums[a:b] for a, b in zip(ends, ends[1:], strict=False)]
-        packed = [s.astype("<u4").tobytes() if s.max() < 1 << 32 else s.tobytes() for s in small]
+        _, where = np.unique(np.concatenate(parts), return_inverse=True)
+        del parts
+        sums = np.bincount(where, counts)[where]
+        packed = [_packed(sums[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "sums": pa.array(packed, pa.binary())})
 
     answered = asked.groupBy("bucket").applyInArrow(answer, "block long, bucket long, sums binary")
 
     def finish(_, texts: pa.Table, answers: pa.Table) -> pa.Table:
-        grams, ends = _keys(texts.column("text").to_pylist(), order)
-        keys, _, at = _table(grams, buckets)
+        grams, ends = grams_of(texts)
+        keys, inside, at, where = _table(grams, buckets, places=True)
         sums = np.zeros(len(keys), np.float64)
+        del keys
         for b, packed in zip(answers.column("bucket").to_pylist(), answers.column("sums"), strict=True):
-            n, data = at[b + 1] - at[b], packed.as_py()
-            sums[at[b] : at[b + 1]] = np.frombuffer(data, "<u4" if len(data) == 4 * n else "<u8")
-        by_key = np.argsort(keys)
-        sorted_keys = keys[by_key]
-        place = [by_key[np.searchsorted(sorted_keys, np.where(g == 0, sorted_keys[0], g))] for g in grams]
-        every = sums[np.flatnonzero(keys == _ALL)[0]]
-        logs = np.zeros(len(ends) - 1)
-        for d in range(len(logs)):
-            a, b = ends[d], ends[d + 1]
-            logs[d] = _document([p[a:b] for p in place], sums, every, alpha, leave_out)
+            sums[at[b] : at[b + 1]] = _unpacked(packed.as_py())
+        every, inside[0] = sums[where[-1]], 1
+        place = where[:-1].reshape(order, -1)
         n = np.diff(ends)
+        logs, first = np.zeros(len(n)), 0
+        while first < len(n):
+            last = max(int(np.searchsorted(ends, ends[first] + _WORDS_AT_ONCE, side="right")) - 1, first + 1)
+            logs[first:last] = _documents(place[:, ends[first] : ends[last]], n[first:last], sums, inside, every, alpha, leave_out)
+            first = last
         return pa.table({"doc_id": texts.column("doc_id"), "n_words": pa.array(n, pa.int64()), "log_score": pa.array(logs), "mean_log_score": pa.array(logs / np.maximum(n, 1))})
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(finish, f"doc_id {kind}, n_words long, log_score double, mean_log_score double")
 
 
-def _document(place: list[np.ndarray], sums: np.ndarray, every: float, alpha: float, leave_out: bool) -> float:
-    """place: for each order, where sums holds the count of the n-gram that ends at each word."""
-    n = len(place[0])
-    if not n:
-        return 0.0
-    own = every - n if leave_out else every
-    counts = []
+def _documents(place: np.ndarray, n: np.ndarray, sums: np.ndarray, inside: np.ndarray, every: float, alpha: float, leave_out: bool) -> np.ndarray:
+    """place: for each order, where sums holds the count of the n-gram that ends at each word, and
+    inside that within the block; n: the words of each document."""
+    doc = np.repeat(np.arange(len(n)), n)
+    nth = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+    rest = np.repeat(every - n if leave_out else np.full(len(n), every), n)
+    score = shorter = None
     for m, p in enumerate(place):
-        p = p[m:]
         c = sums[p]
-        if leave_out and len(p):
-            _, where, times = np.unique(p, return_inverse=True, return_counts=True)
-            c = c - times[where]
-        counts.append(np.concatenate([np.zeros(min(m, n)), c]))
-    score = np.full(n, alpha / (own + 1))
-    score = np.where(counts[0] > 0, counts[0] / max(own, 1), score)
-    for m in range(1, len(place)):
-        shorter = np.concatenate([np.zeros(1), counts[m - 1][:-1]])
-        higher = counts[m] / np.maximum(shorter, 1)
-        possible = np.arange(n) >= m
-        score = np.where(possible, np.where(counts[m] > 0, higher, alpha * score), score)
-    return float(np.log(score).sum())
+        if leave_out:
+            own = np.ones(len(p))
+            # What the block holds once, its document holds once.
+            often = np.flatnonzero(inside[p] > 1)
+            _, which, times = np.unique(doc[often] * len(sums) + p[often], return_inverse=True, return_counts=True)
+            own[often] = times[which]
+            c = c - own
+        if m == 0:
+            score = np.where(c > 0, c / np.maximum(rest, 1), alpha / (rest + 1))
+        else:
+            higher = c / np.maximum(np.concatenate([np.zeros(1), shorter[:-1]])[: len(c)], 1)
+            score = np.where(nth >= m, np.where(c > 0, higher, alpha * score), score)
+        shorter = c
+    return np.bincount(doc, np.log(score), len(n))
 
 
 ORACLE = r"""
@@ -164,3 +197,32 @@ scored AS (
 SELECT doc_id, len(ws)::BIGINT AS n_words, round(coalesce(sum(s), 0), 5) AS log_score, round(coalesce(sum(s), 0) / greatest(len(ws), 1), 7) AS mean_log_score
 FROM docs LEFT JOIN scored USING (doc_id) GROUP BY doc_id, ws
 """
+
+#: The same for trigrams.
+ORACLE_TRIGRAMS = r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+places AS (SELECT doc_id, len(ws) AS n, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS v, CASE WHEN i > 2 THEN ws[i - 2] END AS u
+           FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM docs)),
+total AS (SELECT count(*) AS every FROM places),
+ones AS (SELECT w, count(*) AS c FROM places GROUP BY w),
+own_ones AS (SELECT doc_id, w, count(*) AS c FROM places GROUP BY doc_id, w),
+twos AS (SELECT v, w, count(*) AS c FROM places WHERE v IS NOT NULL GROUP BY v, w),
+own_twos AS (SELECT doc_id, v, w, count(*) AS c FROM places WHERE v IS NOT NULL GROUP BY doc_id, v, w),
+threes AS (SELECT u, v, w, count(*) AS c FROM places WHERE u IS NOT NULL GROUP BY u, v, w),
+own_threes AS (SELECT doc_id, u, v, w, count(*) AS c FROM places WHERE u IS NOT NULL GROUP BY doc_id, u, v, w),
+counted AS (
+  SELECT p.doc_id, p.u, p.v, every - p.n AS rest, a.c - b.c AS c1, c.c - d.c AS c0, e.c - f.c AS c2, i.c - j.c AS c00, g.c - h.c AS c3
+  FROM places p CROSS JOIN total JOIN ones a ON a.w = p.w JOIN own_ones b ON b.doc_id = p.doc_id AND b.w = p.w
+  LEFT JOIN ones c ON c.w = p.v LEFT JOIN own_ones d ON d.doc_id = p.doc_id AND d.w = p.v
+  LEFT JOIN twos e ON e.v = p.v AND e.w = p.w LEFT JOIN own_twos f ON f.doc_id = p.doc_id AND f.v = p.v AND f.w = p.w
+  LEFT JOIN twos i ON i.v = p.u AND i.w = p.v LEFT JOIN own_twos j ON j.doc_id = p.doc_id AND j.v = p.u AND j.w = p.v
+  LEFT JOIN threes g ON g.u = p.u AND g.v = p.v AND g.w = p.w LEFT JOIN own_threes h ON h.doc_id = p.doc_id AND h.u = p.u AND h.v = p.v AND h.w = p.w),
+scored AS (
+  SELECT doc_id, ln(CASE WHEN c3 > 0 THEN c3 / c00::DOUBLE
+    ELSE (CASE WHEN u IS NULL THEN 1.0::DOUBLE ELSE 0.4::DOUBLE END) * (CASE WHEN c2 > 0 THEN c2 / c0::DOUBLE
+    ELSE (CASE WHEN v IS NULL THEN 1.0::DOUBLE ELSE 0.4::DOUBLE END) * (CASE WHEN c1 > 0 THEN c1 / rest::DOUBLE ELSE 0.4::DOUBLE / (rest + 1) END) END) END) AS s
+  FROM counted)
+SELECT doc_id, len(ws)::BIGINT AS n_words, round(coalesce(sum(s), 0), 5) AS log_score, round(coalesce(sum(s), 0) / greatest(len(ws), 1), 7) AS mean_log_score
+FROM docs LEFT JOIN scored USING (doc_id) GROUP BY doc_id, ws
+"""

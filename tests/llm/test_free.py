@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import tiktoken
 
-from basinflow.llm import bpe, html_text, jaccard_join, ngram_lm, packing, quality, topk
+from basinflow.llm import bpe, catalog, html_text, jaccard_join, ngram_lm, packing, quality, topk
 from basinflow.llm.catalog import tokenizer
 
 ODD = [(1, None), (2, ""), (3, "one"), (3, "one"), (4, "word " * 3000), (5, "x" * 100_000), (None, "no id")]
@@ -131,6 +131,27 @@ def test_scores_against_plain_counting(spark):
         assert got[i].log_score == pytest.approx(total) and got[i].n_words == len(d)
 
 
+@pytest.mark.parametrize("name", ["op1_lm_score", "op1_lm_score_trigrams"])
+def test_registered_scores_equal_sql(spark, name):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    got = catalog.queries()[name](spark, sf).toPandas().sort_values("doc_id").reset_index(drop=True)
+    duck = duckdb.connect()
+    duck.sql(f"create view documents as select * from read_parquet('{sf}/documents.parquet')")
+    want = duck.sql(catalog.oracle_sql()[name]).df().sort_values("doc_id").reset_index(drop=True)
+    assert got.n_words.tolist() == want.n_words.tolist()
+    assert np.allclose(got.log_score, want.log_score, rtol=0, atol=2e-5)
+    assert np.allclose(got.mean_log_score, want.mean_log_score, rtol=0, atol=2e-7)
+
+
+def test_small_blocks_score_alike(spark):
+    texts = [" ".join("ab c d e".split()[(i * j * 7 + j) % 4] for j in range(i % 40)) for i in range(200)]
+    d = frame(spark, list(enumerate(texts)))
+    one, many = ({r.doc_id: r.log_score for r in ngram_lm.score(d, order=3, block_chars=n).collect()} for n in (1 << 20, 500))
+    assert one == pytest.approx(many)
+
+
 def test_top_k_is_exact(spark):
     rng = np.random.default_rng(2)
     rows = [(i, rng.integers(-3, 4, 5).astype(float).tolist()) for i in range(300)]
