@@ -255,16 +255,18 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, cell_docs: int = 4096,
         bands, seen = Bands(percent), set()
         for batch in batches:
             sizes, digests, marks = [], [], []
-            for text in batch.column(1):
+            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
                 found = shingles(text.as_py(), k)
                 sizes.append(len(found))
                 digests.append(xxhash.xxh128_digest(found.tobytes()))
-                # One of a task's equal sets speaks for them.
-                fresh = len(found) > 0 and digests[-1] not in seen
+                # One of a task's equal sets speaks for them, one that has an id.
+                named = doc_id.is_valid
+                fresh = named and len(found) > 0 and digests[-1] not in seen
                 marks.append(bands.signatures(found).view(np.int64) if fresh else np.zeros(0, np.int64))
                 if len(seen) >= 250_000:
                     seen.clear()
-                seen.add(digests[-1])
+                if named:
+                    seen.add(digests[-1])
             offsets = np.concatenate([[0], np.cumsum([len(m) for m in marks])]).astype(np.int32)
             values = np.concatenate(marks) if marks else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(offsets, values)], ["doc_id", "n", "digest", "marks"])

@@ -97,6 +97,14 @@ def test_join_is_that_of_all_pairs(spark, k, percent, cell):
     assert got == {i: (n, c) for i, (c, n) in enumerate(zip(low, sizes, strict=True))}
 
 
+def test_a_null_id_does_not_speak_for_its_twin(spark):
+    words = [f"w{i}" for i in range(100)]
+    text, near = " ".join(words), " ".join([*words[:-1], "other"])
+    d = frame(spark, [(None, text), (5, text), (9, near), (None, text)]).coalesce(1)
+    got = jaccard_join.join(d, 4, 85).collect()
+    assert sorted((r.doc_id or 0, r.component_id) for r in got) == [(0, 5), (0, 5), (5, 5), (9, 5)]
+
+
 def test_divide_skip_counts_occurrences():
     from array import array
 
