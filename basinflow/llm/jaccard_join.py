@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: signatures find who may link, DivideSkip decides the T-occurrences exactly."""
+"""N-gram Jaccard join: rare first shingles find who may link, DivideSkip decides the T-occurrences exactly."""
 
 from __future__ import annotations
 
@@ -13,7 +13,6 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import blank_if_null, drop_table, small_batches, stage_table
@@ -23,6 +22,8 @@ from .components import connected_components
 FILTER_BITS = 1 << 22
 #: How often a star moves to its centre's lowest tie.
 HOPS = 3
+#: Cells of the sketch that tells frequent shingles, and the slices it is summed in: eight megabytes, whatever the input.
+SKETCH_BITS, SLICES = 23, 1 << 10
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _S29, _S32 = np.uint64(29), np.uint64(32)
@@ -68,47 +69,42 @@ def shingles(text: str, k: int) -> np.ndarray:
     return np.unique(joint)
 
 
-class Bands:
-    """Sizes in bands, each half as wide again as the one before (or as wide as links need).
+def prefixes(n: int, percent: int) -> tuple[int, int]:
+    """How many of a set's first members, in an order common to all sets, meet those of every set it
+    links with: where it is the smaller of the two, and where it is the larger.
 
-    A link belongs to the band of its larger set. There at most `differ` members lie in only one
-    of its sets: with more parts than that, by hash of the members, one part is the same in both.
-    Some spare parts make up for empty ones.
+    Sets of n and m members link if they share at least percent (n + m) / (100 + percent). If two
+    sets share c members, the first n - c + 1 of one and the first m - c + 1 of the other have one
+    in common.
     """
+    return n + (-2 * percent * n // (100 + percent)) + 1, n + (-percent * n // 100) + 1
 
-    def __init__(self, percent: int):
-        self.percent, self.starts = percent, [1]
-
-    def of(self, n: int) -> int:
-        while self.starts[-1] <= n:
-            last = self.starts[-1]
-            self.starts.append(max(last * 3 // 2, last * 100 // self.percent + 1))
-        return int(np.searchsorted(self.starts, n, side="right")) - 1
-
-    def parts(self, band: int) -> tuple[int, int]:
-        """The parts to cut a set into and how many of them may be empty, for links whose larger set is in the band."""
-        self.of(self.starts[-1] if band + 1 >= len(self.starts) else 1)
-        top = self.starts[band + 1] - 1
-        differ = 2 * top * (100 - self.percent) // (100 + self.percent)
-        spare = 1 + differ // 16
-        return differ + 1 + spare, spare
-
-    def signatures(self, found: np.ndarray) -> np.ndarray:
-        """For links with sets up to its own size's band, and up to that of the largest set it may
-        link with. Parts that differ hash alike only by chance, which costs a later look."""
-        out = []
-        for band in sorted({self.of(len(found)), self.of(len(found) * 100 // self.percent)}):
-            parts, spare = self.parts(band)
-            if parts - spare == 1:
-                continue  # only equal sets link, and they are one class already
-            spread = mixed(found + np.uint64(band))
-            part = (spread % np.uint64(parts)).astype(np.int64)
-            sums = np.zeros(parts, np.uint64)
-            np.add.at(sums, part, mixed(spread))
-            sizes = np.bincount(part, minlength=parts)
-            keep = np.flatnonzero(sizes) if parts - np.count_nonzero(sizes) <= spare else np.arange(parts)
-            out.append(mixed(sums[keep] + mixed(np.uint64(band << 32) + keep.astype(np.uint64))))
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+def merged_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums the counts of each slice of the sketch and gives their logarithms in eighths; sums of 1 or less give 8 or less."""
+    unpack, totals = zstandard.ZstdDecompressor(), {}
+    for batch in batches:
+        for piece, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            counts = np.frombuffer(unpack.decompress(packed.as_py()), np.uint16)
+            totals[piece] = totals[piece] + counts if piece in totals else counts.astype(np.int64)
+    if totals:
+        ranks = [np.minimum(np.rint(8 * np.log2(1.0 + total)), 255).astype(np.uint8).tobytes() for total in totals.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array(ranks, pa.binary())], ["slice", "ranks"])
+
+
+class Speakers:
+    """Of a task's equal sets one speaks for them, one that has an id; forgets all when it has grown to a quarter of a million."""
+
+    def __init__(self):
+        self.seen: set[bytes] = set()
+
+    def fresh(self, doc_id: pa.Scalar, found: np.ndarray, digest: bytes) -> bool:
+        if not doc_id.is_valid or not len(found) or digest in self.seen:
+            return False
+        if len(self.seen) >= 250_000:
+            self.seen.clear()
+        self.seen.add(digest)
+        return True
 
 
 def merged_counts(lists: list[array]) -> tuple[list[int], list[int]]:
@@ -240,9 +236,12 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, cell_docs: int = 4096,
     their ids; rows that share a doc_id are one document for links. Rows with a null doc_id
     link with each other only through equal sets. An empty table gives no rows.
 
-    1. Equal sets make one class, by a digest; its smallest id stands for it.
-    2. Each class sends signatures of parts of its set; links share at least one (see Bands). Who
-       shares one is tied to the smallest id there, and an id with those tied to it is a star.
+    1. Equal sets make one class, by a digest; its smallest id stands for it. A sketch of fixed size
+       counts in how many sets a shingle lies, or shingles that share its cell.
+    2. Each class sends its first shingles in the order of those counts, rare ones first (see
+       prefixes): links share at least one, and passages that many documents share are sent only by
+       sets that hold little else. Who sends one is tied to the smallest id there, and an id with
+       those tied to it is a star. The order decides what is searched, not what links.
     3. A star's sets are searched together (t_occurrences). A star over cell_docs sets or
        cell_shingles members is cut into chunks and every two chunks are searched in a cell of
        their own. Cells give each set's least linked id, not its links, and these meet in the end.
@@ -252,47 +251,75 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, cell_docs: int = 4096,
     rows = docs.select("doc_id", blank_if_null("text").alias("text"))
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, seen = Bands(percent), set()
+        speakers, counts, names = Speakers(), np.zeros(1 << SKETCH_BITS, np.uint16), ["doc_id", "n", "digest", "slice", "counts"]
         for batch in batches:
-            sizes, digests, marks = [], [], []
+            sizes, digests = [], []
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
                 found = shingles(text.as_py(), k)
                 sizes.append(len(found))
                 digests.append(xxhash.xxh128_digest(found.tobytes()))
-                # One of a task's equal sets speaks for them, one that has an id.
-                named = doc_id.is_valid
-                fresh = named and len(found) > 0 and digests[-1] not in seen
-                marks.append(bands.signatures(found).view(np.int64) if fresh else np.zeros(0, np.int64))
-                if len(seen) >= 250_000:
-                    seen.clear()
-                if named:
-                    seen.add(digests[-1])
-            offsets = np.concatenate([[0], np.cumsum([len(m) for m in marks])]).astype(np.int32)
-            values = np.concatenate(marks) if marks else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(offsets, values)], ["doc_id", "n", "digest", "marks"])
-
-    marked = stage_table(rows.mapInArrow(summarise, "doc_id long, n long, digest binary, marks array<long>"), "join-marks")
-    sets = stage_table(marked.select("doc_id", "n", "digest"), "join-sets")
+                if speakers.fresh(doc_id, found, digests[-1]):
+                    cells = found >> np.uint64(64 - SKETCH_BITS)
+                    counts[cells] += counts[cells] < 65535
+            nones = pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), *nones], names)
+        pack = zstandard.ZstdCompressor(level=1)
+        used = [(i, pack.compress(x.tobytes())) for i, x in enumerate(counts.reshape(SLICES, -1)) if x.any()]
+        nones = pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.binary())
+        yield pa.RecordBatch.from_arrays([*nones, pa.array([i for i, _ in used], pa.int32()), pa.array([x for _, x in used], pa.binary())], names)
+
+    summed = stage_table(rows.mapInArrow(summarise, "doc_id long, n long, digest binary, slice int, counts binary"), "join-sets")
+    sets = summed.filter("slice is null").select("doc_id", "n", "digest")
     classes = stage_table(sets.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("head"), F.max("n").alias("n")), "join-classes")
 
-    marks = marked.filter("doc_id is not null").select(F.col("doc_id").alias("id"), F.explode(F.array_distinct("marks")).alias("mark"))
-    ties = marks.select("id", F.min("id").over(W.partitionBy("mark")).alias("low")).filter("id != low").distinct()
-    ties = stage_table(ties, "join-speakers")
-    drop_table(marked)
+    table = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.uint8)
+    for piece, ranks in summed.filter("slice is not null").select("slice", "counts").repartition("slice").mapInArrow(merged_sketch, "slice int, ranks binary").collect():
+        table[piece] = np.frombuffer(ranks, np.uint8)
+    sketch = spark.sparkContext.broadcast(table.reshape(-1))
+
+    def speak(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        speakers, ranks = Speakers(), sketch.value
+        for batch in batches:
+            ids, marks, smaller = [], [], []
+            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+                found = shingles(text.as_py(), k)
+                if not speakers.fresh(doc_id, found, xxhash.xxh128_digest(found.tobytes())):
+                    continue
+                rank = ranks[found >> np.uint64(64 - SKETCH_BITS)]
+                first, last = prefixes(len(found), percent)
+                order = np.argsort(rank, kind="stable")[:last]
+                # What only one set holds joins none.
+                alone = int(np.searchsorted(rank[order], 8, side="right"))
+                ids.append(doc_id.as_py())
+                marks.append(found[order[alone:]].view(np.int64))
+                smaller.append(max(first - alone, 0))
+            offsets = np.concatenate([[0], np.cumsum([len(m) for m in marks])]).astype(np.int32)
+            values = np.concatenate([*marks, np.zeros(0, np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(smaller, pa.int32()), pa.ListArray.from_arrays(offsets, values)], ["id", "smaller", "marks"])
+
+    spoken = stage_table(rows.mapInArrow(speak, "id long, smaller int, marks array<long>"), "join-marks")
+    marks = spoken.select("id", "smaller", F.posexplode("marks").alias("nth", "mark"))
+    lows = marks.groupBy("mark").agg(F.min(F.when(F.col("nth") < F.col("smaller"), F.col("id"))).alias("low"), F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most and low is not null").select("mark", "low")
+    ties = marks.join(lows, "mark").select("id", "low").filter("id != low").distinct()
     # Ties of sets are ties of their classes' heads.
     named = sets.filter("n > 0 and doc_id is not null").join(classes.select("digest", "head"), "digest").select("doc_id", "head").distinct()
     ties = ties.join(named.select(F.col("doc_id").alias("id"), F.col("head").alias("a")), "id").join(named.select(F.col("doc_id").alias("low"), F.col("head").alias("b")), "low")
     ties = ties.filter("a != b").select(F.col("a").alias("id"), F.col("b").alias("low")).distinct()
+    ties = stage_table(ties, "join-ties")
+    drop_table(spoken)
     # Two that share a mark are both tied to its low id, or one is it: stars hold all links.
     # Moving a star to its centre's own lowest tie keeps them together and lets stars that overlap
-    # become one, so that most sets are sent to one cell.
-    ties = stage_table(ties, "join-ties")
-    hop = ties.groupBy("id").agg(F.min("low").alias("to")).withColumnRenamed("id", "low")
-    stars = ties.union(ties.select("low", "low").distinct())
+    # become one, so that most sets are sent to one cell. Only centres take the steps.
+    hop = ties.groupBy("id").agg(F.min("low").alias("to"))
+    centres = ties.select("low").distinct().withColumn("at", F.col("low"))
     for _ in range(HOPS):
-        stars = stars.join(hop, "low", "left").select("id", F.least("low", "to").alias("low"))
-    stars = stars.distinct()
+        centres = centres.join(hop, F.col("at") == F.col("id"), "left").select("low", F.least("at", "to").alias("at"))
+    centres = stage_table(centres, "join-centres")
+    moved = stage_table(ties.join(centres, "low").select("id", F.col("at").alias("low")), "join-moved")
+    stars = moved.union(centres.select(F.col("low").alias("id"), F.col("at").alias("low"))).distinct()
     sized = stage_table(stars.join(classes.groupBy(F.col("head").alias("id")).agg(F.max("n").alias("n")), "id"), "join-sized")
+    for done in (ties, centres, moved):
+        drop_table(done)
     totals = sized.groupBy("low").agg(F.greatest(F.ceil(F.count(F.lit(1)) / cell_docs), F.ceil(F.sum("n") / cell_shingles)).cast("int").alias("chunks"))
     chunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
     cells = sized.join(totals, "low").withColumn("chunk", chunk)
@@ -329,6 +356,7 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, cell_docs: int = 4096,
 
     links = dealt.groupBy("low", "a", "b").applyInArrow(search, "u long, v long").filter("u != v").distinct()
     groups = stage_table(connected_components(links), "join-groups")
+    drop_table(sized)
 
     heads = classes.join(groups.select(F.col("node").alias("head"), "component"), "head", "left").select("digest", F.coalesce("component", "head").alias("component"))
     return sets.join(heads, ["digest"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
