@@ -15,6 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import ANSWERED, ASKED, answer, answers_of, ask, block_count, bucket_count, packed_texts, starts_of, texts_of
 from .common import blank_if_null, drop_table, small_batches, stage_table
 from .components import connected_components
 
@@ -22,8 +23,8 @@ from .components import connected_components
 FILTER_BITS = 1 << 22
 #: How often a star moves to its centre's lowest tie.
 HOPS = 3
-#: Cells of the sketch that tells frequent shingles, and the slices it is summed in: eight megabytes, whatever the input.
-SKETCH_BITS, SLICES = 23, 1 << 10
+#: Bits of a shingle's hash by which it is counted.
+COUNT_BITS = 48
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _S29, _S32 = np.uint64(29), np.uint64(32)
@@ -80,31 +81,17 @@ def prefixes(n: int, percent: int) -> tuple[int, int]:
     return n + (-2 * percent * n // (100 + percent)) + 1, n + (-percent * n // 100) + 1
 
 
-def merged_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums the counts of each slice of the sketch and gives their logarithms in eighths; sums of 1 or less give 8 or less."""
-    unpack, totals = zstandard.ZstdDecompressor(), {}
-    for batch in batches:
-        for piece, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            counts = np.frombuffer(unpack.decompress(packed.as_py()), np.uint16)
-            totals[piece] = totals[piece] + counts if piece in totals else counts.astype(np.int64)
-    if totals:
-        ranks = [np.minimum(np.rint(8 * np.log2(1.0 + total)), 255).astype(np.uint8).tobytes() for total in totals.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array(ranks, pa.binary())], ["slice", "ranks"])
-
-
-class Speakers:
-    """Of a task's equal sets one speaks for them, one that has an id; forgets all when it has grown to a quarter of a million."""
-
-    def __init__(self):
-        self.seen: set[bytes] = set()
-
-    def fresh(self, doc_id: pa.Scalar, found: np.ndarray, digest: bytes) -> bool:
-        if not doc_id.is_valid or not len(found) or digest in self.seen:
-            return False
-        if len(self.seen) >= 250_000:
-            self.seen.clear()
-        self.seen.add(digest)
-        return True
+def _speakers(table: pa.Table, k: int) -> Iterator[tuple[int | None, np.ndarray, bytes, bool]]:
+    """A block's rows: id, shingles, their digest, and whether the row speaks for its set. Of a block's
+    equal sets the first with an id does."""
+    seen = set()
+    for doc_id, text in zip(table.column("doc_id").to_pylist(), texts_of(table), strict=True):
+        found = shingles(text, k)
+        digest = xxhash.xxh128_digest(found.tobytes())
+        fresh = doc_id is not None and len(found) > 0 and digest not in seen
+        if fresh:
+            seen.add(digest)
+        yield doc_id, found, digest, fresh
 
 
 def merged_counts(lists: list[array]) -> tuple[list[int], list[int]]:
@@ -225,7 +212,7 @@ def linked_groups(ids: list[int], sets: list[np.ndarray], percent: int) -> list[
     return out
 
 
-def join(docs: DataFrame, k: int = 5, percent: int = 80, cell_docs: int = 4096, cell_shingles: int = 1_000_000) -> DataFrame:
+def join(docs: DataFrame, k: int = 5, percent: int = 80, cell_docs: int = 4096, cell_shingles: int = 1_000_000, block_chars: int | None = None) -> DataFrame:
     """Groups documents that links reach: sets of k-word shingles whose intersection is at least
     `percent` hundredths of their union.
 
@@ -236,69 +223,65 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, cell_docs: int = 4096,
     their ids; rows that share a doc_id are one document for links. Rows with a null doc_id
     link with each other only through equal sets. An empty table gives no rows.
 
-    1. Equal sets make one class, by a digest; its smallest id stands for it. A sketch of fixed size
-       counts in how many sets a shingle lies, or shingles that share its cell.
-    2. Each class sends its first shingles in the order of those counts, rare ones first (see
-       prefixes): links share at least one, and passages that many documents share are sent only by
-       sets that hold little else. Who sends one is tied to the smallest id there, and an id with
-       those tied to it is a star. The order decides what is searched, not what links.
+    1. Blocks of documents ask in how many sets each of their shingles lies (see blocks), by 48 bits of
+       its hash. Equal sets make one class, by a digest; its smallest id stands for it.
+    2. One of a block's equal sets sends its first shingles in the order of those counts, rare ones
+       first (see prefixes): links share at least one, and passages that many documents share are
+       sent only by sets that hold little else. Those of one set only aren't sent. Who sends one is
+       tied to the smallest id there, and an id with those tied to it is a star. The order decides
+       what is searched, not what links.
     3. A star's sets are searched together (t_occurrences). A star over cell_docs sets or
        cell_shingles members is cut into chunks and every two chunks are searched in a cell of
        their own. Cells give each set's least linked id, not its links, and these meet in the end.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select("doc_id", blank_if_null("text").alias("text"))
-
-    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        speakers, counts, names = Speakers(), np.zeros(1 << SKETCH_BITS, np.uint16), ["doc_id", "n", "digest", "slice", "counts"]
-        for batch in batches:
-            sizes, digests = [], []
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                found = shingles(text.as_py(), k)
-                sizes.append(len(found))
-                digests.append(xxhash.xxh128_digest(found.tobytes()))
-                if speakers.fresh(doc_id, found, digests[-1]):
-                    cells = found >> np.uint64(64 - SKETCH_BITS)
-                    counts[cells] += counts[cells] < 65535
-            nones = pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), *nones], names)
-        pack = zstandard.ZstdCompressor(level=1)
-        used = [(i, pack.compress(x.tobytes())) for i, x in enumerate(counts.reshape(SLICES, -1)) if x.any()]
-        nones = pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.binary())
-        yield pa.RecordBatch.from_arrays([*nones, pa.array([i for i, _ in used], pa.int32()), pa.array([x for _, x in used], pa.binary())], names)
-
-    summed = stage_table(rows.mapInArrow(summarise, "doc_id long, n long, digest binary, slice int, counts binary"), "join-sets")
-    sets = summed.filter("slice is null").select("doc_id", "n", "digest")
+    blocks = block_count(docs, block_chars)
+    buckets = bucket_count(docs, blocks)
+    packed = packed_texts(docs.withColumn("doc_id", F.col("doc_id").cast("long")), blocks)
+    cut = np.uint64(64 - COUNT_BITS)
+
+    def count(table: pa.Table) -> pa.Table:
+        every = np.concatenate([*(found >> cut for _, found, _, fresh in _speakers(table, k) if fresh), np.zeros(0, np.uint64)])
+        keys, counts = np.unique(every, return_counts=True)
+        return ask(table.column("block")[0].as_py(), keys, counts, starts_of(keys, buckets, COUNT_BITS))
+
+    answered = packed.groupBy("block").applyInArrow(count, ASKED).groupBy("bucket").applyInArrow(answer, ANSWERED)
+
+    def speak(_, table: pa.Table, answers: pa.Table) -> pa.Table:
+        rows = list(_speakers(table, k))
+        keys = np.unique(np.concatenate([*(found >> cut for _, found, _, fresh in rows if fresh), np.zeros(0, np.uint64)]))
+        sums = answers_of(((b, s.as_py()) for b, s in zip(answers.column("bucket").to_pylist(), answers.column("sums"), strict=True)), starts_of(keys, buckets, COUNT_BITS))
+        marks, smaller = [], []
+        for _, found, _, fresh in rows:
+            if not fresh:
+                marks.append(np.zeros(0, np.int64))
+                smaller.append(0)
+                continue
+            times = sums[np.searchsorted(keys, found >> cut)]
+            first, last = prefixes(len(found), percent)
+            order = np.argsort(times, kind="stable")[:last]
+            alone = int(np.searchsorted(times[order], 1, side="right"))
+            marks.append(found[order[alone:]].view(np.int64))
+            smaller.append(max(first - alone, 0))
+        offsets = np.concatenate([[0], np.cumsum([len(m) for m in marks])]).astype(np.int32)
+        values = np.concatenate([*marks, np.zeros(0, np.int64)])
+        return pa.table(
+            {
+                "doc_id": table.column("doc_id"),
+                "n": pa.array([len(found) for _, found, _, _ in rows], pa.int64()),
+                "digest": pa.array([digest for _, _, digest, _ in rows], pa.binary()),
+                "smaller": pa.array(smaller, pa.int32()),
+                "marks": pa.ListArray.from_arrays(offsets, values),
+            }
+        )
+
+    spoken = packed.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(speak, "doc_id long, n long, digest binary, smaller int, marks array<long>")
+    spoken = stage_table(spoken, "join-marks")
+    sets = stage_table(spoken.select("doc_id", "n", "digest"), "join-sets")
     classes = stage_table(sets.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("head"), F.max("n").alias("n")), "join-classes")
 
-    table = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.uint8)
-    for piece, ranks in summed.filter("slice is not null").select("slice", "counts").repartition("slice").mapInArrow(merged_sketch, "slice int, ranks binary").collect():
-        table[piece] = np.frombuffer(ranks, np.uint8)
-    sketch = spark.sparkContext.broadcast(table.reshape(-1))
-
-    def speak(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        speakers, ranks = Speakers(), sketch.value
-        for batch in batches:
-            ids, marks, smaller = [], [], []
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                found = shingles(text.as_py(), k)
-                if not speakers.fresh(doc_id, found, xxhash.xxh128_digest(found.tobytes())):
-                    continue
-                rank = ranks[found >> np.uint64(64 - SKETCH_BITS)]
-                first, last = prefixes(len(found), percent)
-                order = np.argsort(rank, kind="stable")[:last]
-                # What only one set holds joins none.
-                alone = int(np.searchsorted(rank[order], 8, side="right"))
-                ids.append(doc_id.as_py())
-                marks.append(found[order[alone:]].view(np.int64))
-                smaller.append(max(first - alone, 0))
-            offsets = np.concatenate([[0], np.cumsum([len(m) for m in marks])]).astype(np.int32)
-            values = np.concatenate([*marks, np.zeros(0, np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(smaller, pa.int32()), pa.ListArray.from_arrays(offsets, values)], ["id", "smaller", "marks"])
-
-    spoken = stage_table(rows.mapInArrow(speak, "id long, smaller int, marks array<long>"), "join-marks")
-    marks = spoken.select("id", "smaller", F.posexplode("marks").alias("nth", "mark"))
+    marks = spoken.select(F.col("doc_id").alias("id"), "smaller", F.posexplode("marks").alias("nth", "mark"))
     lows = marks.groupBy("mark").agg(F.min(F.when(F.col("nth") < F.col("smaller"), F.col("id"))).alias("low"), F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most and low is not null").select("mark", "low")
     ties = marks.join(lows, "mark").select("id", "low").filter("id != low").distinct()
     # Ties of sets are ties of their classes' heads.
@@ -343,6 +326,7 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, cell_docs: int = 4096,
             packed = [pack.compress(batch.column(1)[i].as_py().encode().lower()) for i in keep]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(packed, pa.binary())], ["id", "packed"])
 
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), blank_if_null("text").alias("text"))
     hashed = rows.filter("doc_id is not null").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
     loaded = hashed.mapInArrow(load, "id long, packed binary")
     dealt = loaded.join(cells, F.col("id") == F.col("node")).select("low", "a", "b", "id", "packed")

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import blank_if_null, small_batches
+from .blocks import ANSWERED, ASKED, answer, answers_of, ask, block_count, bucket_count, packed_texts, starts_of, texts_of
+from .common import small_batches
 from .jaccard_join import mixed, word_hashes
 
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -47,23 +46,11 @@ def _table(grams: list[np.ndarray], buckets: int, places: bool = False) -> tuple
     found = np.unique(flat, return_inverse=places, return_counts=True)
     keys, counts = found[0], found[-1]
     counts[np.searchsorted(keys, _ALL)] = words
-    starts = np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)
-    at = np.append(np.maximum(np.searchsorted(keys, starts), 1), len(keys))
+    at = np.maximum(starts_of(keys, buckets), 1)
     return keys, counts, at, found[1][1:].astype(np.int32) if places else None
 
 
-def _packed(values: np.ndarray) -> bytes:
-    """Whole numbers as compressed planes of their bytes, the lowest first."""
-    values = values.astype("<u8", copy=False)
-    return zstandard.ZstdCompressor(level=1).compress(values.view(np.uint8).reshape(-1, 8).T.tobytes())
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view("<u8").reshape(-1)
-
-
-def score(docs: DataFrame, order: int = 2, alpha: float = 0.4, leave_out: bool = True, block_chars: int = 12_000_000) -> DataFrame:
+def score(docs: DataFrame, order: int = 3, alpha: float = 0.4, leave_out: bool = True, block_chars: int | None = None) -> DataFrame:
     """The sum of the logarithms of the stupid-backoff scores of a document's words.
 
     docs: doc_id, text; more columns are ignored. Words are runs of other than ASCII white space,
@@ -73,7 +60,7 @@ def score(docs: DataFrame, order: int = 2, alpha: float = 0.4, leave_out: bool =
     first, so a score tells how it reads to the rest of the corpus. A word that is not counted at
     all scores alpha / (all words + 1) with its factors.
 
-    Documents lie in blocks of about block_chars characters. Blocks send their distinct n-grams
+    Documents lie in blocks of about block_chars characters (see block_count). Blocks send their distinct n-grams
     with counts to buckets by hash; a bucket's count table answers every block, which joins the
     answers to its exploded n-grams and sums by document. Texts are sent compressed; a bucket's keys
     as compressed differences, since they are sorted. A frequent n-gram costs one entry a
@@ -84,59 +71,22 @@ def score(docs: DataFrame, order: int = 2, alpha: float = 0.4, leave_out: bool =
     """
     spark = docs.sparkSession
     small_batches(spark)
-    total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(-(-total // block_chars), 1)
-    buckets = max(blocks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    blocks = block_count(docs, block_chars)
+    buckets = bucket_count(docs, blocks)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", blank_if_null("text").alias("text"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            packed = [z.compress(t.as_py().encode()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(packed, pa.binary())], ["doc_id", "block", "packed"])
-
-    rows = rows.mapInArrow(pack, f"doc_id {kind}, block long, packed binary")
-
-    def grams_of(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
-        z = zstandard.ZstdDecompressor()
-        return _keys((z.decompress(x.as_py()).decode() for x in table.column("packed")), order)
+    rows = packed_texts(docs, blocks)
 
     def count(table: pa.Table) -> pa.Table:
-        keys, counts, at, _ = _table(grams_of(table)[0], buckets)
-        used = np.flatnonzero(np.diff(at))
-        block = table.column("block")[0].as_py()
-        return pa.table(
-            {
-                "bucket": pa.array(used, pa.int64()),
-                "block": pa.array(np.full(len(used), block), pa.int64()),
-                "keys": pa.array([_packed(np.diff(keys[at[b] : at[b + 1]], prepend=np.uint64(0))) for b in used], pa.binary()),
-                "counts": pa.array([_packed(counts[at[b] : at[b + 1]]) for b in used], pa.binary()),
-            }
-        )
-
-    asked = rows.groupBy("block").applyInArrow(count, "bucket long, block long, keys binary, counts binary")
-
-    def answer(table: pa.Table) -> pa.Table:
-        parts = [np.cumsum(_unpacked(x.as_py()), dtype=np.uint64) for x in table.column("keys")]
-        counts = np.concatenate([_unpacked(x.as_py()) for x in table.column("counts")])
-        ends = np.cumsum([0, *map(len, parts)])
-        _, where = np.unique(np.concatenate(parts), return_inverse=True)
-        del parts
-        sums = np.bincount(where, counts)[where]
-        packed = [_packed(sums[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
-        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "sums": pa.array(packed, pa.binary())})
-
-    answered = asked.groupBy("bucket").applyInArrow(answer, "block long, bucket long, sums binary")
+        keys, counts, at, _ = _table(_keys(texts_of(table), order)[0], buckets)
+        return ask(table.column("block")[0].as_py(), keys, counts, at)
+
+    asked = rows.groupBy("block").applyInArrow(count, ASKED)
+    answered = asked.groupBy("bucket").applyInArrow(answer, ANSWERED)
 
     def finish(_, texts: pa.Table, answers: pa.Table) -> pa.Table:
-        grams, ends = grams_of(texts)
-        keys, inside, at, where = _table(grams, buckets, places=True)
-        sums = np.zeros(len(keys), np.float64)
-        del keys
-        for b, packed in zip(answers.column("bucket").to_pylist(), answers.column("sums"), strict=True):
-            sums[at[b] : at[b + 1]] = _unpacked(packed.as_py())
+        grams, ends = _keys(texts_of(texts), order)
+        _, inside, at, where = _table(grams, buckets, places=True)
+        sums = answers_of(((b, s.as_py()) for b, s in zip(answers.column("bucket").to_pylist(), answers.column("sums"), strict=True)), at)
         every, inside[0] = sums[where[-1]], 1
         place = where[:-1].reshape(order, -1)
         n = np.diff(ends)
@@ -175,35 +125,12 @@ def _documents(place: np.ndarray, n: np.ndarray, sums: np.ndarray, inside: np.nd
     return np.bincount(doc, np.log(score), len(n))
 
 
+#: Trigrams in DuckDB.
 ORACLE = r"""
 WITH docs AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-places AS (SELECT doc_id, len(ws) AS n, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS v
-           FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM docs)),
-total AS (SELECT count(*) AS every FROM places),
-ones AS (SELECT w, count(*) AS c FROM places GROUP BY w),
-own_ones AS (SELECT doc_id, w, count(*) AS c FROM places GROUP BY doc_id, w),
-twos AS (SELECT v, w, count(*) AS c FROM places WHERE v IS NOT NULL GROUP BY v, w),
-own_twos AS (SELECT doc_id, v, w, count(*) AS c FROM places WHERE v IS NOT NULL GROUP BY doc_id, v, w),
-counted AS (
-  SELECT p.doc_id, p.n, p.v, every - p.n AS rest, a.c - b.c AS c1, c.c - d.c AS c0, e.c - f.c AS c2
-  FROM places p CROSS JOIN total JOIN ones a ON a.w = p.w JOIN own_ones b ON b.doc_id = p.doc_id AND b.w = p.w
-  LEFT JOIN ones c ON c.w = p.v LEFT JOIN own_ones d ON d.doc_id = p.doc_id AND d.w = p.v
-  LEFT JOIN twos e ON e.v = p.v AND e.w = p.w LEFT JOIN own_twos f ON f.doc_id = p.doc_id AND f.v = p.v AND f.w = p.w),
-scored AS (
-  SELECT doc_id, ln(CASE WHEN c2 > 0 THEN c2 / c0::DOUBLE
-    ELSE (CASE WHEN v IS NULL THEN 1.0::DOUBLE ELSE 0.4::DOUBLE END) * (CASE WHEN c1 > 0 THEN c1 / rest::DOUBLE ELSE 0.4::DOUBLE / (rest + 1) END) END) AS s
-  FROM counted)
-SELECT doc_id, len(ws)::BIGINT AS n_words, round(coalesce(sum(s), 0), 5) AS log_score, round(coalesce(sum(s), 0) / greatest(len(ws), 1), 7) AS mean_log_score
-FROM docs LEFT JOIN scored USING (doc_id) GROUP BY doc_id, ws
-"""
-
-#: The same for trigrams.
-ORACLE_TRIGRAMS = r"""
-WITH docs AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-places AS (SELECT doc_id, len(ws) AS n, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS v, CASE WHEN i > 2 THEN ws[i - 2] END AS u
-           FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM docs)),
+words AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM docs),
+places AS (SELECT doc_id, n, w, lag(w) OVER o AS v, lag(w, 2) OVER o AS u FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 total AS (SELECT count(*) AS every FROM places),
 ones AS (SELECT w, count(*) AS c FROM places GROUP BY w),
 own_ones AS (SELECT doc_id, w, count(*) AS c FROM places GROUP BY doc_id, w),
