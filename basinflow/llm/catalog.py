@@ -13,15 +13,8 @@ from .common import read
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def op1_lm_score_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(ngram_lm.score(read(spark, sf_dir, "documents"), order=3))
-
-
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(ngram_lm.score(read(spark, sf_dir, "documents")))
-
-
-def _rounded(scored: DataFrame) -> DataFrame:
+    scored = ngram_lm.score(read(spark, sf_dir, "documents"), order=3)
     return scored.withColumns({"log_score": F.round("log_score", 5), "mean_log_score": F.round("mean_log_score", 7)})
 
 
@@ -69,9 +62,9 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_lm_score_trigrams, op1_lm_score, op2_html_text, op3_jaccard_join, op4_fingerprints, op5_topk, op6_packing, op7_pii, op8_quality, op9_mixing, op10_bpe]
+    found = [op1_lm_score, op2_html_text, op3_jaccard_join, op4_fingerprints, op5_topk, op6_packing, op7_pii, op8_quality, op9_mixing, op10_bpe]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_lm_score_trigrams": ngram_lm.ORACLE_TRIGRAMS, "op1_lm_score": ngram_lm.ORACLE, "op5_topk": topk.ORACLE, "op7_pii": pii.ORACLE, "op9_mixing": mixing.ORACLE}
+    return {"op1_lm_score": ngram_lm.ORACLE, "op5_topk": topk.ORACLE, "op7_pii": pii.ORACLE, "op9_mixing": mixing.ORACLE}
