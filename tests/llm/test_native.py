@@ -1,7 +1,9 @@
 """Personal data, fingerprints and mixing: small cases and brute force."""
 
 import hashlib
+import random
 import re
+import time
 
 import pytest
 
@@ -55,6 +57,38 @@ def test_added_kinds_and_redaction(spark):
     assert "[IBAN]" in out.text and "[EMAIL]" in out.text and out.n_chars == len(out.text)
 
 
+def test_an_iban_ends_where_it_passes(spark):
+    d = frame(spark, [(1, "bank DE89 3704 0044 0532 0130 00 EUR 500 and DE88 3704 0044 0532 0130 00")])
+    assert pii.digest(pii.find(d)).first().spans == "iban:5:32"
+
+
+def test_spans_and_redaction_of_random_texts(spark):
+    draw = random.Random(6)
+    parts = ["a@b.cd", "x.y@", "@c.de ", "1.2.3.4", "256.1.1.1", "4111 1111 1111 1111", "4111111111111112", "12 ", "7", "-", " ", "+1 (555) 123-4567", "+", "é", "🎉", ".", "\n", "word "]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.choice([5, 30, 400, 3000]))) for _ in range(120)]
+    for r in pii.digest(pii.find(frame(spark, list(enumerate(texts))))).collect():
+        assert r.base_sha256 == hashlib.sha256(base_spans(texts[r.doc_id]).encode()).hexdigest()
+    names = [f"[{k.upper()}]" for k in pii.KINDS]
+    found = {r.doc_id: r.pii for r in pii.find(frame(spark, list(enumerate(texts)))).collect()}
+    for r in pii.redact(frame(spark, list(enumerate(texts)))).collect():
+        out, at, text = [], 0, texts[r.doc_id]
+        for s in found[r.doc_id]:
+            if s.start >= at:
+                out += [text[at : s.start], names[s.kind]]
+            at = max(at, s.end)
+        assert r.text == "".join(out) + text[at:]
+
+
+def test_many_matches_take_linear_time(spark):
+    texts = ["12 a " * 200_000, "a@b.cd " * 100_000, "1.2.3.4 " * 100_000, "4111 1111 1111 1111 a " * 50_000]
+    began = time.time()
+    d = frame(spark, list(enumerate(texts))).repartition(4)
+    rows = {r.doc_id: r for r in pii.digest(pii.find(d)).collect()}
+    assert [rows[1].n_email, rows[2].n_ip, rows[3].n_card] == [100_000, 100_000, 50_000]
+    assert sorted(r.text.count("[") for r in pii.redact(d).collect()) == [0, 50_000, 100_000, 100_000]
+    assert time.time() - began < 120
+
+
 def test_long_runs_take_linear_time(spark):
     rows = [(1, "a" * 200_000), (2, "1" * 200_000), (3, "a@b" + ".c" * 50_000)]
     assert pii.digest(pii.find(frame(spark, rows))).agg({"n_email": "sum"}).first()[0] == 1
