@@ -19,7 +19,7 @@ def written(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
-        if not sc.master.startswith("local"):
+        if not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         _OWN_DIR.append(tempfile.TemporaryDirectory(prefix="basinflow-"))
         base = f"file://{_OWN_DIR[-1].name}"
@@ -29,6 +29,16 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Removes the files of tables of written() that nothing reads any more."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/rounds-" in name:
+                path = jvm.org.apache.hadoop.fs.Path(name)
+                path.getFileSystem(conf).delete(path, True)
+
+
 def components(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     """image_id, v, comp: the smallest vertex that edges reach. Vertices without edges are their own.
 
@@ -46,9 +56,11 @@ def components(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame
         jump = hop.select("image_id", F.col("v").alias("comp"), F.col("comp").alias("_next"))
         after = hop.join(jump, ["image_id", "comp"]).select("image_id", "v", F.least("comp", "_next").alias("comp"), "_old")
         after = written(after)
-        if after.filter("comp != _old").isEmpty():
-            return after.drop("_old")
+        dropped(labels)
         labels = after.drop("_old")
+        if after.filter("comp != _old").isEmpty():
+            dropped(ends)
+            return labels
 
 
 def label_stats(labels: DataFrame) -> DataFrame:
@@ -118,3 +130,16 @@ def binary_components(raster: DataFrame, width: int, theta: float) -> DataFrame:
     comps = components(edges, nodes)
     keyed = raster.select(*PIXEL, (F.col("y") * width + F.col("x")).alias("v"))
     return keyed.join(comps, ["image_id", "v"], "left").select(*PIXEL, F.coalesce("comp", F.lit(-1)).cast("long").alias("label"))
+
+
+def flatten_tree(parents: DataFrame) -> DataFrame:
+    """image_id, node, root: where following parents leads. parents: image_id, node, parent; a root
+    is its own parent or has none. Pointer jumping: as many rounds as the depth has binary digits."""
+    at = written(parents.select("image_id", "node", F.coalesce("parent", F.col("node")).alias("root")))
+    while True:
+        jump = at.select("image_id", F.col("node").alias("root"), F.col("root").alias("_next"))
+        after = written(at.join(jump, ["image_id", "root"], "left").select("image_id", "node", F.coalesce("_next", F.col("root")).alias("root"), F.col("root").alias("_old")))
+        dropped(at)
+        at = after.drop("_old")
+        if after.filter("root != _old").isEmpty():
+            return at

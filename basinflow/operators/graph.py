@@ -157,3 +157,35 @@ def contrast_copy(edges: DataFrame, shift: int, between: DataFrame) -> DataFrame
     """A graph, its copy with vertices shifted, and edges between both (image_id, u, v, w)."""
     copy = edges.select("image_id", (F.col("u") + shift).alias("u"), (F.col("v") + shift).alias("v"), "w")
     return edges.select("image_id", "u", "v", "w").union(copy).unionByName(between.select("image_id", "u", "v", "w"))
+
+
+def vector_edges(bands: DataFrame, width: int, offsets: Sequence[tuple[int, int]] = ((1, 0), (0, 1))) -> DataFrame:
+    """Edges of rasters whose pixels hold a vector (column `values`): image_id, u, v, a and b (both
+    ends' vectors) and w, minus their distance."""
+    steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in offsets])
+    left = bands.select("image_id", "x", "y", F.col("values").alias("a"), F.explode(steps).alias("_o"))
+    left = left.select("image_id", (F.col("y") * width + F.col("x")).alias("u"), "a", (F.col("x") + F.col("_o.dx")).alias("x"), (F.col("y") + F.col("_o.dy")).alias("y"))
+    joined = left.join(bands.select(*PIXEL, F.col("values").alias("b")), PIXEL)
+    apart = F.aggregate(F.zip_with("a", "b", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda acc, d: acc + d)
+    return joined.select("image_id", "u", (F.col("y") * width + F.col("x")).alias("v"), "a", "b", (-F.sqrt(apart)).alias("w"))
+
+
+def marker_vertices(vertices: DataFrame, markers: DataFrame) -> DataFrame:
+    """image_id, v, marker: every vertex with its marker, 0 where it has none or one of 0 or less."""
+    marked = markers.filter("marker > 0").groupBy("image_id", "v").agg(F.min("marker").cast("long").alias("_m"))
+    return vertices.select("image_id", "v").join(marked, ["image_id", "v"], "left").select("image_id", "v", F.coalesce("_m", F.lit(0).cast("long")).alias("marker"))
+
+
+def contrast_labels(vertices: DataFrame, shift: int, width: int | None = None, block: int | None = None) -> DataFrame:
+    """Labels of a contrast copy: 0 for the graph and 1 for its shifted copy; with `block` the squares of
+    that size, numbered by row, in place of 0, and the same after them for the copy."""
+    first = F.lit(0).cast("long")
+    if block:
+        across = -(-width // block)
+        first = (F.floor(F.floor(F.col("v") / width) / block) * across + F.floor((F.col("v") % width) / block)).cast("long")
+    rows = vertices.select("image_id", "v", first.alias("label"))
+    top = F.lit(1).cast("long")
+    if block:
+        top = rows.groupBy("image_id").agg((F.max("label") + 1).alias("_top"))
+        return rows.unionByName(rows.join(top, "image_id").select("image_id", (F.col("v") + shift).alias("v"), (F.col("label") + F.col("_top")).alias("label")))
+    return rows.unionByName(rows.select("image_id", (F.col("v") + shift).alias("v"), top.alias("label")))

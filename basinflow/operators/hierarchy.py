@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .components import components, written
+from .components import components, dropped, written
 from .watershed import IMAGE, best_edge
 
 
@@ -110,18 +110,29 @@ def boruvka(edges: DataFrame) -> DataFrame:
     tie together become one. With a total order of the edges this is the forest of merges().
     """
     alive = written(edges.select(IMAGE, "u", "v", "w", F.col("u").alias("cu"), F.col("v").alias("cv")))
-    tree = None
+    rounds: list[DataFrame] = []
+    order = F.struct("w", (-F.col("u")).alias("nu"), (-F.col("v")).alias("nv"), "cu", "cv")
     while not alive.isEmpty():
         ends = F.explode(F.array("cu", "cv")).alias("c")
-        pick = F.max(F.struct("w", (-F.col("u")).alias("nu"), (-F.col("v")).alias("nv"), "cu", "cv")).alias("b")
-        best = alive.select("*", ends).groupBy(IMAGE, "c").agg(pick)
+        best = alive.select("*", ends).groupBy(IMAGE, "c").agg(F.max(order).alias("b"))
         best = written(best.select(IMAGE, (-F.col("b.nu")).alias("u"), (-F.col("b.nv")).alias("v"), "b.w", "b.cu", "b.cv").distinct())
-        tree = best.select(IMAGE, "u", "v", "w") if tree is None else tree.union(best.select(IMAGE, "u", "v", "w"))
+        rounds.append(best)
         comps = components(best.select(IMAGE, F.col("cu").alias("u"), F.col("cv").alias("v")))
+        after = alive
         for side in ("cu", "cv"):
-            alive = alive.join(comps.select(IMAGE, F.col("v").alias(side), F.col("comp").alias(f"_{side}")), [IMAGE, side])
-        alive = written(alive.select(IMAGE, "u", "v", "w", F.col("_cu").alias("cu"), F.col("_cv").alias("cv")).filter("cu != cv"))
-    return edges.select(IMAGE, "u", "v", "w").limit(0) if tree is None else tree.distinct()
+            after = after.join(comps.select(IMAGE, F.col("v").alias(side), F.col("comp").alias(f"_{side}")), [IMAGE, side])
+        # Of several edges between two components only the first of the order can be a best one again.
+        after = after.filter("_cu != _cv").groupBy(IMAGE, F.least("_cu", "_cv").alias("cu"), F.greatest("_cu", "_cv").alias("cv")).agg(F.max(F.struct("w", (-F.col("u")).alias("nu"), (-F.col("v")).alias("nv"))).alias("b"))
+        after = written(after.select(IMAGE, (-F.col("b.nu")).alias("u"), (-F.col("b.nv")).alias("v"), "b.w", "cu", "cv"))
+        dropped(alive, comps)
+        alive = after
+    dropped(alive)
+    if not rounds:
+        return edges.select(IMAGE, "u", "v", "w").limit(0)
+    tree = rounds[0].select(IMAGE, "u", "v", "w")
+    for one in rounds[1:]:
+        tree = tree.union(one.select(IMAGE, "u", "v", "w"))
+    return tree.distinct()
 
 
 def merge_rank(edges: DataFrame) -> DataFrame:
@@ -206,18 +217,21 @@ class Scored:
     edges: DataFrame
 
 
-def scored_pass(edges: DataFrame, labels: DataFrame, offset: float = 0.75) -> Scored:
+def scored_pass(edges: DataFrame, labels: DataFrame, offset: float | list[float] = 0.75) -> Scored:
     """The hierarchy over an image and its labels: watershed, then clustering of its basins, with
-    the pair counts of every merge.
+    the pair counts of every merge. Of several offsets an image takes that at its number modulo theirs.
 
     totals: image_id, n_basins, threshold, energy, pos, neg, false_neg, false_pos, rand_error.
     edges: image_id, layer (0 watershed, 1 clustering), seq, basin, u, v, w, same, diff, kept. seq
     orders the watershed's merges by basin, then by weight, then the clustering's by weight.
     """
 
+    offsets = offset if isinstance(offset, list) else [offset]
+
     def run(e: pa.Table, given: pa.Table) -> pa.Table:
         rows: list[tuple] = []
         image = e.column(IMAGE)[0].as_py() if e.num_rows else 0
+        offset = offsets[image % len(offsets)]
         if e.num_rows:
             rows = [(image, *r) for r in _score(*(x.tolist() for x in _edges(e)), dict(zip(given.column("v").to_pylist(), given.column("label").to_pylist(), strict=True)), offset)]
         names = ("image_id", "layer", "seq", "basin", "u", "v", "w", "same", "diff", "kept", "n_basins", "threshold", "energy")

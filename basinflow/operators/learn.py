@@ -233,7 +233,7 @@ def stump_search(edges: DataFrame, features: list[str]) -> DataFrame:
     from .metrics import best_cut
 
     long = edges.select("gt", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features])).alias("_s"))
-    return best_cut(long.select("gt", "_s.feature", "_s.value"), ["feature"], "value", F.col("gt") == 1, F.lit(1.0))
+    return best_cut(long.select("gt", "_s.feature", "_s.value"), ["feature"], "value", F.col("gt") == 1, F.lit(1.0), ranges=64)
 
 
 def parameter_sweep(curves: DataFrame, parameters: list[float], evaluate, name: str = "offset") -> DataFrame:

@@ -11,16 +11,16 @@ from .watershed import IMAGE
 PURITY, EQUAL, ERROR = "purity", "equal", "error"
 
 
-def edge_targets(scored_edges: DataFrame, totals: DataFrame | None, kind: str, pos: str = "same", neg: str = "diff") -> DataFrame:
+def edge_targets(scored_edges: DataFrame, totals: DataFrame | None, kind: str, pos: str = "same", neg: str = "diff", flip: bool = False) -> DataFrame:
     """Adds label and weight to edges with pair counts.
 
     purity: the majority's sign (+1 on ties), weight |pos - neg| / (pos + neg); equal: weight 1;
     error: an edge with pairs of one kind keeps their number, any other is pushed against the sign
     of its weight w by the number that this sign gets wrong. Weights are times the image's
-    rand_error where totals (image_id, rand_error) are given.
+    rand_error where totals (image_id, rand_error) are given. flip: ties count as -1 and all signs are turned.
     """
     p, n = F.col(pos).cast("double"), F.col(neg).cast("double")
-    sign = F.when(p >= n, 1.0).otherwise(-1.0)
+    sign = F.when(p > n, -1.0).otherwise(1.0) if flip else F.when(p >= n, 1.0).otherwise(-1.0)
     if kind == PURITY:
         label, weight = sign, F.abs(p - n) / (p + n)
     elif kind == EQUAL:
@@ -98,9 +98,9 @@ def feature_gradient(merge_table: DataFrame, features: DataFrame, margin: float
 
 def cut_gradient(cut: DataFrame, targets: DataFrame, features: DataFrame, margin: float = 1.0) -> DataFrame:
     """Sub-gradient through the min-max cut: a violated edge adds its features and takes off those of
-    the neighbour that set its minimum.
+    the neighbour that set its minimum, never its own.
 
-    cut: image_id, u, v, cut, wu, wv (the minimax edge); targets: image_id, u, v, label, weight.
+    cut: of watershed.minmax_edges(); targets: image_id, u, v, label, weight.
     """
     rows = cut.join(targets, [IMAGE, "u", "v"]).filter(F.col("cut") * F.col("label") < margin)
     c = -F.col("label") * F.col("weight")

@@ -35,7 +35,8 @@ def rand_contingency(pairs: DataFrame, keys: list[str], seg: str = "seg", gt: st
 
 
 def rand_exhaustive(pairs: DataFrame, keys: list[str], item: str, seg: str = "seg", gt: str = "gt") -> DataFrame:
-    """Rand error over all pairs of things of a key: for checks on small groups only."""
+    """Rand error over all pairs of things of a key: quadratic by design, a test oracle for small groups;
+    rand_contingency() is the operator."""
     a = pairs.select(*keys, F.col(item).alias("_i"), F.col(seg).alias("_s"), F.col(gt).alias("_t"))
     b = pairs.select(*keys, F.col(item).alias("_j"), F.col(seg).alias("_s2"), F.col(gt).alias("_t2"))
     joined = a.join(b, keys).filter("_i < _j")
@@ -101,22 +102,46 @@ def edge_error(labelled_edges: DataFrame, theta: float) -> DataFrame:
     return labelled_edges.groupBy(IMAGE).agg(F.count(F.lit(1)).alias("n_edges"), F.avg(wrong.cast("double")).alias("edge_error"))
 
 
-def best_cut(rows: DataFrame, keys: list[str], value: str, positive: Column, weight: Column) -> DataFrame:
+def best_cut(rows: DataFrame, keys: list[str], value: str, positive: Column, weight: Column, ranges: int | None = None) -> DataFrame:
     """Weighted stump: the threshold on `value` that best tells positives (at or above it) from the
-    others, with its error, detection rate and false-alarm rate. Equal values are never parted.
+    others, with its error, detection rate and false-alarm rate. Equal values are never parted."""
+    return best_cut_of(rows, keys, value, F.when(positive, weight).otherwise(0.0), F.when(positive, 0.0).otherwise(weight), ranges)
 
-    Values are aggregated first, so windows see one row per distinct value.
+
+def best_cut_of(rows: DataFrame, keys: list[str], value: str, positive: Column, negative: Column, ranges: int | None = None) -> DataFrame:
+    """The same for rows that weigh something on both sides.
+
+    Values are aggregated first, so windows see one row per distinct value. With `ranges` a key's
+    values are cut into about so many ranges, whose sums are run through by themselves: for few keys
+    with more values than one task should sort. Without it each key is one task's.
     """
-    by = rows.groupBy(*keys, F.col(value).alias("_v")).agg(F.sum(F.when(positive, weight).otherwise(0.0)).alias("_p"), F.sum(F.when(positive, 0.0).otherwise(weight)).alias("_n"))
+    by = rows.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.sum(positive).cast("double").alias("_p"), F.sum(negative).cast("double").alias("_n"))
+    if ranges:
+        marks = F.approx_percentile("_v", [i / ranges for i in range(1, ranges)], 100 * ranges)
+        by = by.join(by.groupBy(*keys).agg(marks.alias("_marks")), keys)
+        by = by.withColumn("_range", F.size(F.filter("_marks", lambda m: m < F.col("_v")))).drop("_marks")
+    else:
+        by = by.withColumn("_range", F.lit(0))
+    inner = W.partitionBy(*keys, "_range").orderBy(F.col("_v").desc())
+    upto = inner.rowsBetween(W.unboundedPreceding, 0)
+    placed = by.select(*keys, "_range", "_v", "_p", "_n", F.lead("_v").over(inner).alias("_next"), F.sum("_p").over(upto).alias("_h"), F.sum("_n").over(upto).alias("_f"))
+    # One row a range: what lies above it, and the greatest value below.
+    sums = by.groupBy(*keys, "_range").agg(F.sum("_p").alias("_rp"), F.sum("_n").alias("_rn"), F.max("_v").alias("_top"))
     whole = W.partitionBy(*keys)
-    order = whole.orderBy(F.col("_v").desc())
-    upto = order.rowsBetween(W.unboundedPreceding, 0)
-    pos, neg = F.sum("_p").over(whole), F.sum("_n").over(whole)
-    hit, false = F.sum("_p").over(upto), F.sum("_n").over(upto)
-    placed = by.select(*keys, "_v", F.lead("_v").over(order).alias("_next"), (pos - hit + false).alias("_e"), (hit / F.nullif(pos, F.lit(0.0))).alias("_d"), (false / F.nullif(neg, F.lit(0.0))).alias("_f"), (pos + neg).alias("_all"))
-    best = placed.groupBy(*keys).agg(F.min(F.struct("_e", (-F.col("_v")).alias("_o"), "_v", "_next", "_d", "_f", "_all")).alias("b"))
+    outer = whole.orderBy(F.col("_range").desc())
+    above = outer.rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select(
+        *keys, "_range",
+        F.coalesce(F.sum("_rp").over(above), F.lit(0.0)).alias("_ap"), F.coalesce(F.sum("_rn").over(above), F.lit(0.0)).alias("_an"),
+        F.lead("_top").over(outer).alias("_below"), F.sum("_rp").over(whole).alias("_pos"), F.sum("_rn").over(whole).alias("_neg"),
+    )
+    hit, false, pos, neg = F.col("_h") + F.col("_ap"), F.col("_f") + F.col("_an"), F.col("_pos"), F.col("_neg")
+    joined = placed.join(sums, [*keys, "_range"])
+    rates = (hit / F.nullif(pos, F.lit(0.0))).alias("_d"), (false / F.nullif(neg, F.lit(0.0))).alias("_fa")
+    cuts = joined.select(*keys, "_v", F.coalesce("_next", "_below").alias("_next"), (pos - hit + false).alias("_e"), *rates, (pos + neg).alias("_all"))
+    best = cuts.groupBy(*keys).agg(F.min(F.struct("_e", (-F.col("_v")).alias("_o"), "_v", "_next", "_d", "_fa", "_all")).alias("b"))
     cut = F.coalesce((F.col("b._v") + F.col("b._next")) / 2, F.col("b._v") - 1e-8)
-    return best.select(*keys, cut.alias("threshold"), (F.col("b._e") / F.col("b._all")).alias("error"), F.col("b._d").alias("detection"), F.col("b._f").alias("false_alarm"))
+    return best.select(*keys, cut.alias("threshold"), (F.col("b._e") / F.col("b._all")).alias("error"), F.col("b._d").alias("detection"), F.col("b._fa").alias("false_alarm"))
 
 
 def iid_threshold(labelled_edges: DataFrame) -> DataFrame:

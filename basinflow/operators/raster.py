@@ -308,22 +308,65 @@ def lab_convert(rgb: DataFrame) -> DataFrame:
     return wide.select(*kept, (116 * F.col("_y") - 16).alias("l"), (500 * (F.col("_x") - F.col("_y"))).alias("a"), (200 * (F.col("_y") - F.col("_z"))).alias("b"))
 
 
-def resample(raster: DataFrame, width: int, height: int, new_width: int, new_height: int) -> DataFrame:
-    """Bilinear scaling: each new pixel gathers its four nearest by their weights."""
+def _cubic(d: Column, a: float = -0.75) -> Column:
+    """The weight of a pixel at distance d in cubic convolution."""
+    d = F.abs(d)
+    near = ((a + 2) * d - (a + 3)) * d * d + 1
+    return F.when(d <= 1, near).when(d < 2, ((a * d - 5 * a) * d + 8 * a) * d - 4 * a).otherwise(0.0)
+
+
+def resample(raster: DataFrame, width: int, height: int, new_width: int, new_height: int, cubic: bool = False) -> DataFrame:
+    """Scaling: each new pixel gathers its nearest 2 x 2 pixels by their weights, or 4 x 4 if cubic.
+    Pixels over the edge are those at it."""
     sx, sy = width / new_width, height / new_height
     grid = raster.select("image_id").distinct().withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(new_width - 1)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(new_height - 1))))
-    gx = F.greatest(F.lit(0.0), F.least(F.lit(width - 1.0), (F.col("x") + 0.5) * sx - 0.5))
-    gy = F.greatest(F.lit(0.0), F.least(F.lit(height - 1.0), (F.col("y") + 0.5) * sy - 0.5))
+    gx, gy = (F.col("x") + 0.5) * sx - 0.5, (F.col("y") + 0.5) * sy - 0.5
+    if not cubic:
+        gx, gy = (F.greatest(F.lit(0.0), F.least(F.lit(n - 1.0), g)) for n, g in ((width, gx), (height, gy)))
     grid = grid.withColumns({"_gx": gx, "_gy": gy})
-    corners = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))
-    grid = grid.select("*", corners.alias("_c"))
-    fx, fy = F.col("_gx") - F.floor("_gx"), F.col("_gy") - F.floor("_gy")
-    weight = F.when(F.col("_c.i") == 1, fx).otherwise(1 - fx) * F.when(F.col("_c.j") == 1, fy).otherwise(1 - fy)
-    grid = grid.select("image_id", "x", "y", (F.floor("_gx") + F.col("_c.i")).cast("int").alias("_x"), (F.floor("_gy") + F.col("_c.j")).cast("int").alias("_y"), weight.alias("_w")).filter("_w > 0")
+    steps = (-1, 0, 1, 2) if cubic else (0, 1)
+    taps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in steps for j in steps]))
+    grid = grid.select("*", taps.alias("_c"))
+
+    def weight(g: str, i: str) -> Column:
+        part = F.col(g) - F.floor(g)
+        return _cubic(F.col(i) - part) if cubic else F.when(F.col(i) == 1, part).otherwise(1 - part)
+
+    def place(g: str, i: str, n: int) -> Column:
+        at = F.floor(g) + F.col(i)
+        return (F.greatest(F.lit(0), F.least(F.lit(n - 1), at)) if cubic else at).cast("int")
+
+    grid = grid.select("image_id", "x", "y", place("_gx", "_c.i", width).alias("_x"), place("_gy", "_c.j", height).alias("_y"), (weight("_gx", "_c.i") * weight("_gy", "_c.j")).alias("_w")).filter("_w != 0")
     source = raster.select("image_id", F.col("x").alias("_x"), F.col("y").alias("_y"), "value")
     return grid.join(source, ["image_id", "_x", "_y"]).groupBy(*PIXEL).agg(F.sum(F.col("value") * F.col("_w")).alias("value"))
 
 
+#: Scales of the gradient bank.
+SCALES = (1.0, 0.75, 0.66, 0.5)
+
+
+def gradient_bank_settings() -> list[tuple[int, str, int, float]]:
+    """The bank's settings: smoothing before (0 none, else a box's or median's size), the gradient,
+    the size of the smoothing after, and the scale."""
+    sizes = [0, 1, 3]
+    return [(before, kind, after, scale) for before in sizes for kind in ("morphological", "scharr") for after in sizes for scale in SCALES]
+
+
+def gradient_bank(raster: DataFrame, width: int, height: int, settings: list[tuple[int, str, int, float]] | None = None) -> DataFrame:
+    """image_id, variant, x, y, value: gradient images of a raster under every setting, scaled back to its size."""
+    out = None
+    for variant, (before, kind, after, scale) in enumerate(gradient_bank_settings() if settings is None else settings):
+        w, h = max(1, round(width * scale)), max(1, round(height * scale))
+        rows = raster if scale == 1.0 else resample(raster, width, height, w, h, cubic=True)
+        rows = gaussian(rows, before // 2) if before > 1 else rows
+        rows = scharr(rows) if kind == "scharr" else morph_gradient(rows)
+        rows = gaussian(rows, after // 2) if after > 1 else rows
+        rows = rows if scale == 1.0 else resample(rows, w, h, width, height, cubic=True)
+        rows = rows.select("image_id", F.lit(variant).alias("variant"), "x", "y", "value")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def boundary_mask(labels: DataFrame) -> DataFrame:
     """255 where any 4-neighbour has another label, else 0."""
     sent = neighbours(labels.withColumnRenamed("label", "value"), CROSS)

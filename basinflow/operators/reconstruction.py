@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import written
+from .components import dropped, written
 from .raster import CROSS, PIXEL, neighbours
 
 
@@ -19,9 +19,11 @@ def reconstruct(marker: DataFrame, mask: DataFrame, above: bool = False) -> Data
     while True:
         grown = neighbours(at, CROSS).groupBy(*PIXEL).agg(F.max("value").alias("_g"))
         after = written(at.join(grown, PIXEL).join(limit, PIXEL).select(*PIXEL, F.least("_g", "_m").alias("value"), F.col("value").alias("_old")))
-        if after.filter("value != _old").isEmpty():
-            return after.select(*PIXEL, (F.col("value") * sign).alias("value"))
+        dropped(at)
         at = after.drop("_old")
+        if after.filter("value != _old").isEmpty():
+            dropped(limit)
+            return at.select(*PIXEL, (F.col("value") * sign).alias("value"))
 
 
 def opening_by_reconstruction(raster: DataFrame, element=CROSS) -> DataFrame:

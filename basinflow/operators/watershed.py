@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .components import written
+from .components import dropped, written
 
 IMAGE = "image_id"
 
@@ -31,26 +31,57 @@ def best_edge(edges: DataFrame) -> DataFrame:
     return best.select(IMAGE, "n", (-F.col("b.nu")).alias("u"), (-F.col("b.nv")).alias("v"), F.col("b.w").alias("w"))
 
 
-def minmax_cut(edges: DataFrame) -> DataFrame:
-    """w' = w - min(best other weight at u, best other weight at v), -infinity for a lone edge; and
-    the end that gave the minimum (`winner`, u on ties).
+def minmax_edges(edges: DataFrame) -> DataFrame:
+    """w' = w - min(best other weight at u, best other weight at v), -infinity for a lone edge; the
+    end that gave the minimum (`winner`, u on ties) and its best other edge (wu, wv, ww; null if none).
 
-    Two best weights a vertex suffice: the other end's best is the second where the edge itself is first.
+    Two best edges a vertex suffice: the other end's best is the second where the edge itself is first.
     """
     order = W.partitionBy(IMAGE, "n").orderBy(F.col("w").desc(), "u", "v")
     top = _incident(edges).withColumn("_i", F.row_number().over(order)).filter("_i <= 2")
-    two = top.groupBy(IMAGE, "n").agg(F.max(F.when(F.col("_i") == 1, F.struct("u", "v", "w"))).alias("_1"), F.max(F.when(F.col("_i") == 2, F.col("w"))).alias("_2"))
+    two = top.groupBy(IMAGE, "n").agg(*[F.max(F.when(F.col("_i") == i, F.struct("u", "v", "w"))).alias(f"_{i}") for i in (1, 2)])
 
     def other(side: str) -> DataFrame:
         return two.select(IMAGE, F.col("n").alias(side), F.col("_1").alias(f"_1{side}"), F.col("_2").alias(f"_2{side}"))
 
     def rest(side: str) -> Column:
         own = (F.col(f"_1{side}.u") == F.col("u")) & (F.col(f"_1{side}.v") == F.col("v"))
-        return F.coalesce(F.when(own, F.col(f"_2{side}")).otherwise(F.col(f"_1{side}.w")), F.lit(float("-inf")))
+        return F.when(own, F.col(f"_2{side}")).otherwise(F.col(f"_1{side}"))
 
     joined = edges.join(other("u"), [IMAGE, "u"]).join(other("v"), [IMAGE, "v"])
-    a, b = rest("u"), rest("v")
-    return joined.select(IMAGE, "u", "v", "w", (F.col("w") - F.least(a, b)).alias("cut"), F.when(a <= b, F.col("u")).otherwise(F.col("v")).alias("winner"))
+    joined = joined.withColumns({"_a": rest("u"), "_b": rest("v")})
+    a, b = (F.coalesce(F.col(f"{x}.w"), F.lit(float("-inf"))) for x in ("_a", "_b"))
+    joined = joined.withColumn("_e", F.when(a <= b, F.col("_a")).otherwise(F.col("_b")))
+    return joined.select(
+        IMAGE,
+        "u",
+        "v",
+        "w",
+        (F.col("w") - F.least(a, b)).alias("cut"),
+        F.when(a <= b, F.col("u")).otherwise(F.col("v")).alias("winner"),
+        *[F.col(f"_e.{c}").alias(f"w{c}") for c in ("u", "v", "w")],
+    )
+
+
+def minmax_cut(edges: DataFrame) -> DataFrame:
+    """image_id, u, v, w, cut and winner of minmax_edges()."""
+    return minmax_edges(edges).select(IMAGE, "u", "v", "w", "cut", "winner")
+
+
+def maxmin_cut(edges: DataFrame) -> DataFrame:
+    """The cut where low weights are alike: w - max(least other weight at u, least other weight at v),
+    infinity for a lone edge; the same as minmax_cut of the negated weights, negated."""
+    turned = minmax_cut(edges.select(IMAGE, "u", "v", (-F.col("w")).alias("w")))
+    return turned.select(IMAGE, "u", "v", (-F.col("w")).alias("w"), (-F.col("cut")).alias("cut"), "winner")
+
+
+def gather_cut(edges: DataFrame, outputs: DataFrame) -> DataFrame:
+    """image_id, u, v, cut: outputs (image_id, u, v, w) of a network less its output at the edge that
+    sets the minimum of the cut of `edges`; lone edges keep their output."""
+    where = minmax_edges(edges).select(IMAGE, "u", "v", "wu", "wv")
+    other = outputs.select(IMAGE, F.col("u").alias("wu"), F.col("v").alias("wv"), F.col("w").alias("_other"))
+    joined = outputs.select(IMAGE, "u", "v", "w").join(where, [IMAGE, "u", "v"]).join(other, [IMAGE, "wu", "wv"], "left")
+    return joined.select(IMAGE, "u", "v", (F.col("w") - F.coalesce("_other", F.lit(0.0))).alias("cut"))
 
 
 def best_forest(edges: DataFrame) -> DataFrame:
@@ -76,6 +107,7 @@ def basin_roots(edges: DataFrame, rounds: int | None = None) -> DataFrame:
         after = at.join(jump, [IMAGE, "root"]).select(IMAGE, "n", F.col("_next").alias("root"), F.col("root").alias("_old"))
         if rounds is None:
             after = written(after)
+            dropped(at)
             if after.filter("root != _old").isEmpty():
                 return after.drop("_old")
         at, done = after.drop("_old"), done + 1
@@ -117,3 +149,16 @@ def waterfall_level(edges: DataFrame, labels: DataFrame, found: DataFrame) -> Da
     regions = written(super_edges(edges, labels, found, waterfall=True).select(IMAGE, F.col("b1").alias("u"), F.col("b2").alias("v"), F.col("depth").alias("w")))
     up, _ = watershed(regions)
     return found.join(up.withColumnRenamed("v", "basin"), [IMAGE, "basin"], "left").select(IMAGE, "basin", F.coalesce("label", F.lit(1)).alias("label"))
+
+
+def basins_from_gray(raster: DataFrame, width: int) -> DataFrame:
+    """image_id, v, label: the watershed's basins of a gray raster, edges weighed by minus their difference."""
+    from .graph import ABSDIFF, grid_edges
+
+    return watershed(written(grid_edges(raster, width, ABSDIFF)))[0]
+
+
+def label_image(labels: DataFrame, width: int, add: int = 1) -> DataFrame:
+    """image_id, x, y, value: labels of vertices (basins, markers, clusters) as a raster, raised by `add`
+    so that 0 is free for none."""
+    return labels.select(IMAGE, (F.col("v") % width).cast("int").alias("x"), F.floor(F.col("v") / width).cast("int").alias("y"), (F.col("label") + add).cast("long").alias("value"))

@@ -29,7 +29,7 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 def _load() -> None:
     """The modules register their queries when they are imported."""
-    for module in ("raster_queries", "graph_queries", "metric_queries"):
+    for module in ("raster_queries", "graph_queries", "metric_queries", "segment_queries"):
         importlib.import_module(f"basinflow.plans.{module}")
 
 
@@ -39,5 +39,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
+    """Each is materialised as one table, so that what a reader puts around it can't change its joins' order."""
     _load()
-    return dict(_ORACLES)
+    return {name: f"WITH result AS MATERIALIZED (\n{sql}\n) SELECT * FROM result" for name, sql in _ORACLES.items()}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from basinflow.operators import components, graph, hierarchy, metrics, raster, watershed
 
 from .catalog import register
-from .tables import BASINS, BEST, CUT, EDGES, FINAL, PX, RANKS, SUPER, compact, edges, pixels, quadrant, rand_sql, sign_labels, table, truth
+from .tables import BASINS, BEST, CUT, EDGES, FINAL, MERGES, PX, RANKS, SUPER, compact, edges, pixels, quadrant, rand_sql, sign_labels, table, truth
 
 THETA = 0.25
 
@@ -316,12 +316,21 @@ def rand_contingency(spark, sf):
     return metrics.rand_contingency(labels.withColumn("gt", quadrant(F.col("v") % 8, F.floor(F.col("v") / 8))), ["image_id"])
 
 
-@register("merge_table")
+@register("merge_table", f"WITH RECURSIVE {MERGES} SELECT * FROM merges")
 def merge_table(spark, sf):
     return hierarchy.merges(edges(spark, sf), truth(spark, sf))
 
 
-@register("marker_watershed")
+@register(
+    "marker_watershed",
+    f"""WITH RECURSIVE {EDGES}, ord AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY w DESC, u, v) AS i FROM e),
+kr AS (SELECT DISTINCT image_id, 0::BIGINT AS i, range(0, 64) AS lab, list_transform(range(0, 64), lambda p: CASE WHEN p IN (9, 14, 49, 54) THEN 2 * (p // 32) + (p % 8) // 4 + 1 ELSE 0 END) AS mk FROM e
+  UNION ALL SELECT image_id, i, CASE WHEN apart THEN lab ELSE list_transform(lab, lambda x: CASE WHEN x = b THEN a ELSE x END) END,
+    CASE WHEN apart THEN mk ELSE list_transform(range(1, 65), lambda p: CASE WHEN lab[p] IN (a, b) THEN greatest(ma, mb) ELSE mk[p] END) END
+  FROM (SELECT k.image_id, o.i, k.lab, k.mk, k.lab[o.u + 1] AS a, k.lab[o.v + 1] AS b, k.mk[o.u + 1] AS ma, k.mk[o.v + 1] AS mb, (ma > 0 AND mb > 0 AND ma <> mb) AS apart FROM kr k JOIN ord o ON o.image_id = k.image_id AND o.i = k.i + 1)),
+ends AS (SELECT * FROM kr QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY i DESC) = 1)
+SELECT image_id, p AS v, mk[p + 1]::BIGINT AS marker FROM ends, range(0, 64) AS t(p)""",
+)
 def marker_watershed(spark, sf):
     marks = truth(spark, sf).filter("v in (9, 14, 49, 54)").select("image_id", "v", (F.col("label") + 1).alias("marker"))
     return hierarchy.marker_watershed(edges(spark, sf), marks)
@@ -356,7 +365,14 @@ def scene_watershed(spark, sf):
     return watershed.watershed(graph.grid_edges(scene, 32, graph.ABSDIFF))[1]
 
 
-@register("small_optimum")
+@register(
+    "small_optimum",
+    """WITH RECURSIVE ed(u, v, w) AS (VALUES (0, 1, 0.5::DOUBLE), (0, 2, 0.1), (1, 2, 0.4), (2, 3, -0.3), (3, 4, 0.6), (4, 5, 0.3), (3, 5, 0.2)),
+p AS (SELECT [0] AS p UNION ALL SELECT list_append(p, b::INT) FROM p, range(0, 6) AS t(b) WHERE len(p) < 6 AND b <= list_max(p) + 1),
+s AS (SELECT p, round(sum(CASE WHEN p[u + 1] <> p[v + 1] THEN w ELSE 0 END), 9) AS energy FROM p, ed WHERE len(p) = 6 GROUP BY p),
+best AS (SELECT p FROM s ORDER BY energy, p LIMIT 1)
+SELECT 0::BIGINT AS image_id, i AS v, p[i + 1] AS cluster FROM best, range(0, 6) AS t(i)""",
+)
 def small_optimum(spark, sf):
     from basinflow.sources import generators
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from basinflow.operators import components, features, graph, hierarchy, learn, loss, metrics, raster, watershed
 
 from .catalog import register
-from .tables import EDGES, PX, compact, edges, pixels, quadrant, rand_sql, sign_labels, table, truth
+from .raster_queries import BORDER
+from .tables import BEST, EDGES, MERGES, PX, compact, edges, pixels, quadrant, rand_sql, sign_labels, table, truth
 
 
 def _r(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
@@ -220,35 +221,59 @@ def logistic_loss(spark, sf):
     return _r(_r(loss.logistic_loss(rows, F.col("w") * F.col("gt") * 10, ["image_id"]), "loss"), "slope", digits=9)
 
 
-@register("rand_at_threshold")
+_BEST_CUT = (
+    MERGES
+    + """, t AS (SELECT image_id, step, w, {p}::DOUBLE * sum(same) OVER a AS none, {p}::DOUBLE * sum(same) OVER a + {n}::DOUBLE * sum(diff) OVER a AS scale,
+  ({p}::DOUBLE * (sum(same) OVER a - sum(same) OVER o) + {n}::DOUBLE * sum(diff) OVER o) / scale AS error, lead(w) OVER (PARTITION BY image_id ORDER BY step) AS nxt
+  FROM merges WINDOW a AS (PARTITION BY image_id), o AS (PARTITION BY image_id ORDER BY step ROWS UNBOUNDED PRECEDING)),
+cand AS (SELECT image_id, step, error, coalesce((w + nxt) / 2, w - 1e-8) AS threshold FROM t WHERE nxt IS NULL OR w - nxt >= 1e-8
+  UNION ALL SELECT image_id, 0, none / scale, w + 1e-8 FROM t WHERE step = 1)
+SELECT image_id, threshold, error, step AS n_merges FROM cand QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY error, step, threshold) = 1"""
+)
+
+
+@register(
+    "rand_at_threshold",
+    f"""WITH RECURSIVE {MERGES}, s AS (SELECT image_id, sum(same)::BIGINT AS pos, sum(diff)::BIGINT AS neg, sum(CASE WHEN w >= 0.1 THEN 0 ELSE same END)::BIGINT AS false_neg, sum(CASE WHEN w >= 0.1 THEN diff ELSE 0 END)::BIGINT AS false_pos FROM merges GROUP BY image_id)
+SELECT *, (false_neg + false_pos) / (pos + neg) AS rand_error FROM s""",
+)
 def rand_at_threshold(spark, sf):
     return metrics.rand_at_threshold(hierarchy.merges(edges(spark, sf), truth(spark, sf)), F.lit(0.1))
 
 
-@register("rand_best_threshold")
+@register("rand_best_threshold", "WITH RECURSIVE " + _BEST_CUT.format(p=1, n=1))
 def rand_best_threshold(spark, sf):
     return metrics.rand_best_threshold(hierarchy.merges(edges(spark, sf), truth(spark, sf)))
 
 
-@register("rand_weighted_threshold")
+@register("rand_weighted_threshold", "WITH RECURSIVE " + _BEST_CUT.format(p=2, n=1))
 def rand_weighted_threshold(spark, sf):
     return metrics.rand_best_threshold(hierarchy.merges(edges(spark, sf), truth(spark, sf)), 2.0, 1.0)
 
 
-@register("feature_gradient")
+@register(
+    "feature_gradient",
+    f"""WITH RECURSIVE {MERGES}, g AS (SELECT image_id, -CASE WHEN same >= diff THEN 1 ELSE -1 END * abs(same - diff) / sum(same + diff) OVER (PARTITION BY image_id) AS c, w, w * CASE WHEN same >= diff THEN 1 ELSE -1 END AS margin FROM merges)
+SELECT image_id, component, round(sum(CASE WHEN component = 0 THEN c * w ELSE c END), 9) + 0 AS gradient FROM (SELECT *, unnest([0, 1])::INT AS component FROM g WHERE margin < 1) GROUP BY ALL""",
+)
 def feature_gradient(spark, sf):
     e = edges(spark, sf)
     f = e.select("image_id", "u", "v", F.array(F.col("w"), F.lit(1.0)).alias("f"))
-    return loss.feature_gradient(hierarchy.merges(e, truth(spark, sf)), f)
+    return _r(loss.feature_gradient(hierarchy.merges(e, truth(spark, sf)), f), "gradient", digits=9)
 
 
-@register("cut_gradient")
+@register(
+    "cut_gradient",
+    f"""WITH {BEST}, side AS (SELECT e.image_id, e.u, e.v, e.w, e.qa, e.qb, i.n, i.w AS ow FROM e JOIN inc i ON i.image_id = e.image_id AND (i.n = e.u OR i.n = e.v) AND NOT (i.u = e.u AND i.v = e.v)
+  QUALIFY row_number() OVER (PARTITION BY e.image_id, e.u, e.v, i.n ORDER BY i.w DESC, i.u, i.v) = 1),
+win AS (SELECT image_id, w, ow, CASE WHEN qa = qb THEN 1 ELSE -1 END AS label FROM side QUALIFY row_number() OVER (PARTITION BY image_id, u, v ORDER BY ow, n <> u) = 1)
+SELECT image_id, component, round(sum(CASE WHEN component = 0 THEN -label * abs(w) * (w - ow) ELSE 0 END), 6) + 0 AS gradient
+FROM (SELECT *, unnest([0, 1])::INT AS component FROM win WHERE (w - ow) * label < 1) GROUP BY ALL""",
+)
 def cut_gradient(spark, sf):
     e = edges(spark, sf)
-    best = watershed.best_edge(e).select("image_id", F.col("n").alias("winner"), F.col("u").alias("wu"), F.col("v").alias("wv"))
-    cut = watershed.minmax_cut(e).join(best, ["image_id", "winner"]).select("image_id", "u", "v", "cut", "wu", "wv")
     f = e.select("image_id", "u", "v", F.array(F.col("w"), F.lit(1.0)).alias("f"))
-    return loss.cut_gradient(cut, _edge_labels(spark, sf), f)
+    return _r(loss.cut_gradient(watershed.minmax_edges(e), _edge_labels(spark, sf), f), "gradient")
 
 
 _PRICE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -299,17 +324,27 @@ def merge_edge_features(spark, sf):
     return features.merge_edge_features(c, parents, "max_w")
 
 
-@register("boundary_shape")
+@register(
+    "boundary_shape",
+    f"""{BORDER}, b AS (SELECT image_id, u, v, min(least(a, b)) AS low, count(*) AS length FROM nb GROUP BY ALL), r AS (SELECT image_id, quad, min(value) AS low, count(*) AS n FROM px GROUP BY ALL)
+SELECT b.image_id, b.u, b.v, length, b.low - greatest(x.low, y.low) AS depth, (b.low - greatest(x.low, y.low)) * length AS volume, round(length / sqrt(least(x.n, y.n)), 9) AS aspect
+FROM b JOIN r x ON x.image_id = b.image_id AND x.quad = b.u JOIN r y ON y.image_id = b.image_id AND y.quad = b.v""",
+)
 def boundary_shape(spark, sf):
     p = pixels(spark, sf).withColumn("label", quadrant())
     regions = p.groupBy("image_id", "label").agg(F.min("value").alias("low"), F.count(F.lit(1)).alias("n"))
-    return features.boundary_shape(features.pool_boundary(p), regions)
+    return _r(features.boundary_shape(features.pool_boundary(p), regions), "aspect", digits=9)
 
 
-@register("smooth_triangles")
+@register(
+    "smooth_triangles",
+    f"""{BORDER}, b AS (SELECT image_id, u, v, min(least(a, b)) AS low FROM nb GROUP BY ALL), d AS (SELECT image_id, u AS r, v AS o, low AS f FROM b UNION ALL SELECT image_id, v, u, low FROM b),
+m AS (SELECT b.image_id, b.u, b.v, avg((x.f + y.f) / 2) AS m FROM b JOIN d x ON x.image_id = b.image_id AND x.r = b.u AND x.o <> b.v JOIN d y ON y.image_id = b.image_id AND y.r = b.v AND y.o = x.o GROUP BY ALL)
+SELECT b.image_id, b.u, b.v, round(coalesce(0.5::DOUBLE * b.low + 0.5::DOUBLE * m.m, b.low), 6) + 0 AS low FROM b LEFT JOIN m ON m.image_id = b.image_id AND m.u = b.u AND m.v = b.v""",
+)
 def smooth_triangles(spark, sf):
     p = pixels(spark, sf).withColumn("label", quadrant())
-    return features.smooth_triangles(features.pool_boundary(p).select("image_id", "u", "v", "low"), "low")
+    return _r(features.smooth_triangles(features.pool_boundary(p).select("image_id", "u", "v", "low"), "low"), "low")
 
 
 @register("whiten_apply")
@@ -325,10 +360,16 @@ def acd_scores(spark, sf):
     return rows.select("l_orderkey", "l_linenumber", learn.quadratic_score(_PRICE, q).alias("score"))
 
 
-@register("fisher_weights")
+@register(
+    "fisher_weights",
+    """WITH g AS (SELECT l_returnflag = 'R' AS y, count(*)::DOUBLE AS n, avg(l_quantity) AS a, avg(l_extendedprice) AS b, var_pop(l_quantity) AS va, var_pop(l_extendedprice) AS vb, covar_pop(l_quantity, l_extendedprice) AS c FROM lineitem GROUP BY ALL),
+s AS (SELECT sum(n * va) / sum(n) AS va, sum(n * vb) / sum(n) AS vb, sum(n * c) / sum(n) AS c, sum(CASE WHEN y THEN a ELSE -a END) AS da, sum(CASE WHEN y THEN b ELSE -b END) AS db, avg(a) AS ma, avg(b) AS mb FROM g),
+w AS (SELECT (vb * da - c * db) / (va * vb - c * c) AS wa, (va * db - c * da) / (va * vb - c * c) AS wb, ma, mb FROM s)
+SELECT l_orderkey, l_linenumber, round(wa * (l_quantity - ma) + wb * (l_extendedprice - mb), 6) + 0 AS score FROM lineitem, w""",
+)
 def fisher_weights(spark, sf):
     rows = table(spark, sf, "lineitem")
-    return learn.fisher(rows, _PRICE[:2], F.col("l_returnflag") == "R").apply(rows).select("l_orderkey", "l_linenumber", "score")
+    return learn.fisher(rows, _PRICE[:2], F.col("l_returnflag") == "R").apply(rows).select("l_orderkey", "l_linenumber", F.round("score", 6).alias("score"))
 
 
 @register("logreg_fit")
@@ -354,19 +395,20 @@ def hungarian_match(spark, sf):
     return learn.assignment(s.groupBy("image_id", "row", "col").agg((-F.count(F.lit(1))).cast("double").alias("cost")), ["image_id"])
 
 
-@register("param_grid_search")
-def param_grid_search(spark, sf):
-    e, t = components.written(edges(spark, sf)), truth(spark, sf)
-    swept = learn.parameter_sweep(e, [0.5, 0.65, 0.75, 0.9], lambda rows, o: hierarchy.scored_pass(rows, t, o).totals.agg(F.avg("rand_error").alias("rand_error")))
-    return swept
-
-
 @register("vertex_count_by_image", f"WITH {PX} SELECT image_id, count(*) AS n FROM px GROUP BY image_id")
 def vertex_count_by_image(spark, sf):
     return compact(spark, sf).select("image_id", F.size("values").cast("long").alias("n"))
 
 
-@register("morph_reconstruction")
+_NEAR = "list_max([v for v in [m[p], CASE WHEN p % 8 <> 1 THEN m[p - 1] END, CASE WHEN p % 8 <> 0 THEN m[p + 1] END, CASE WHEN p > 8 THEN m[p - 8] END, CASE WHEN p <= 56 THEN m[p + 8] END] if v IS NOT NULL])"
+
+
+@register(
+    "morph_reconstruction",
+    f"""WITH RECURSIVE r AS (SELECT vec_id AS image_id, embedding::DOUBLE[] AS lim, 0 AS i, list_transform(range(1, 65), lambda p: {_NEAR.replace("list_max", "list_min").replace("m[", "embedding[")})::DOUBLE[] AS m FROM embeddings
+  UNION ALL SELECT image_id, lim, i + 1, list_transform(range(1, 65), lambda p: least(lim[p], {_NEAR})) FROM r WHERE i < 64)
+SELECT image_id, ((p - 1) % 8)::INT AS x, ((p - 1) // 8)::INT AS y, m[p] AS value FROM r, range(1, 65) AS t(p) WHERE i = 64""",
+)
 def morph_reconstruction(spark, sf):
     from basinflow.operators.reconstruction import reconstruct
 

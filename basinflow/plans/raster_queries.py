@@ -315,18 +315,18 @@ def split_features(spark, sf):
     return _r(features.split_features(pixels(spark, sf).withColumn("label", quadrant()), "value", "label").select("image_id", "x", "y", "label", "value"), "value")
 
 
-_BORDER = f"""{_LABELLED}, nb AS (SELECT a.image_id, least(a.quad, b.quad) AS u, greatest(a.quad, b.quad) AS v, a.value AS a, b.value AS b, b.x - a.x AS dx, b.y - a.y AS dy, a.quad > b.quad AS swap
+BORDER = f"""{_LABELLED}, nb AS (SELECT a.image_id, least(a.quad, b.quad) AS u, greatest(a.quad, b.quad) AS v, a.value AS a, b.value AS b, b.x - a.x AS dx, b.y - a.y AS dy, a.quad > b.quad AS swap
 FROM px a JOIN px b ON b.image_id = a.image_id AND ((b.x = a.x + 1 AND b.y = a.y) OR (b.x = a.x AND b.y = a.y + 1)) WHERE a.quad <> b.quad)"""
 
 
-@register("pool_boundary", f"{_BORDER} SELECT image_id, u, v, min(least(a, b)) AS low, max(least(a, b)) AS high, count(*) AS length FROM nb GROUP BY ALL")
+@register("pool_boundary", f"{BORDER} SELECT image_id, u, v, min(least(a, b)) AS low, max(least(a, b)) AS high, count(*) AS length FROM nb GROUP BY ALL")
 def pool_boundary(spark, sf):
     return features.pool_boundary(pixels(spark, sf).withColumn("label", quadrant()))
 
 
 @register(
     "pool_boundary_bands",
-    f"{_BORDER.replace('a.value AS a, b.value AS b', 'a.value AS a, b.value AS b, -a.value AS a2, -b.value AS b2')} SELECT image_id, u, v, min(least(a, b)) AS p_low, max(least(a, b)) AS p_high, min(least(a2, b2)) AS q_low, max(least(a2, b2)) AS q_high, count(*) AS length FROM nb GROUP BY ALL",
+    f"{BORDER.replace('a.value AS a, b.value AS b', 'a.value AS a, b.value AS b, -a.value AS a2, -b.value AS b2')} SELECT image_id, u, v, min(least(a, b)) AS p_low, max(least(a, b)) AS p_high, min(least(a2, b2)) AS q_low, max(least(a2, b2)) AS q_high, count(*) AS length FROM nb GROUP BY ALL",
 )
 def pool_boundary_bands(spark, sf):
     p = pixels(spark, sf).select("image_id", "x", "y", quadrant().alias("label"), F.col("value").alias("p"), (-F.col("value")).alias("q"))
@@ -335,7 +335,7 @@ def pool_boundary_bands(spark, sf):
 
 @register(
     "boundary_directions",
-    f"""{_BORDER}, m AS (SELECT image_id, u, v, sum(CASE WHEN swap THEN -1.0::DOUBLE ELSE 1 END * dx) AS nx, sum(CASE WHEN swap THEN -1.0::DOUBLE ELSE 1 END * dy) AS ny, count(*) AS length FROM nb GROUP BY ALL),
+    f"""{BORDER}, m AS (SELECT image_id, u, v, sum(CASE WHEN swap THEN -1.0::DOUBLE ELSE 1 END * dx) AS nx, sum(CASE WHEN swap THEN -1.0::DOUBLE ELSE 1 END * dy) AS ny, count(*) AS length FROM nb GROUP BY ALL),
 t AS (SELECT *, fmod(atan2(ny, nx) / (2 * pi()) + 1, 1) * 9 - 0.5 AS pos FROM m)
 SELECT image_id, u, v, nx, ny, length, ((floor(pos)::INT + 9) % 9)::INT AS bin1, ((floor(pos)::INT + 10) % 9)::INT AS bin2, round(1 - (pos - floor(pos)), 6) AS weight1, round(pos - floor(pos), 6) AS weight2 FROM t""",
 )
@@ -345,7 +345,7 @@ def boundary_directions(spark, sf):
 
 @register(
     "pool_edge_distance",
-    f"""{_BORDER}, m AS (SELECT image_id, quad, avg(value) AS mean FROM px GROUP BY ALL)
+    f"""{BORDER}, m AS (SELECT image_id, quad, avg(value) AS mean FROM px GROUP BY ALL)
 SELECT n.image_id, n.u, n.v, round((a.mean - b.mean) * (a.mean - b.mean), 6) AS mean FROM (SELECT DISTINCT image_id, u, v FROM nb) n JOIN m a ON a.image_id = n.image_id AND a.quad = n.u JOIN m b ON b.image_id = n.image_id AND b.quad = n.v""",
 )
 def pool_edge_distance(spark, sf):
@@ -366,17 +366,28 @@ def changed_window(spark, sf):
     return features.changed_window(before, after)
 
 
-@register("pool_histogram")
+_SHARES = f"""WITH {PX.replace("px AS", "raw AS")}, px AS (SELECT * REPLACE (sqrt(greatest(value, 0)) AS value) FROM raw), {_kernel("kx", {(-1, 0): -1.0, (1, 0): 1.0})}, {_kernel("ky", {(0, -1): -1.0, (0, 1): 1.0})},
+t AS (SELECT image_id, 2 * (y // 4) + x // 4 AS label, sqrt(kx.value * kx.value + ky.value * ky.value) AS magnitude, fmod(fmod(atan2(ky.value, kx.value), pi()) + pi(), pi()) / pi() * 9 - 0.5 AS pos FROM kx JOIN ky USING (image_id, x, y)),
+parts AS (SELECT image_id, label::BIGINT AS label, ((floor(pos)::INT + 9) % 9)::INT AS bin, magnitude * (1 - (pos - floor(pos))) AS m FROM t UNION ALL SELECT image_id, label, ((floor(pos)::INT + 10) % 9)::INT, magnitude * (pos - floor(pos)) FROM t),
+shares AS (SELECT image_id, label, bin, sum(m) / 16 AS share FROM parts GROUP BY ALL)"""
+
+
+@register("pool_histogram", f"{_SHARES} SELECT image_id, label, bin, round(share, 6) + 0 AS share FROM shares")
 def pool_histogram(spark, sf):
     binned = raster.gradient_bins(pixels(spark, sf)).withColumn("label", quadrant())
-    return features.pool_histogram(binned)
+    return _r(features.pool_histogram(binned), "share")
 
 
-@register("histogram_distance")
+@register(
+    "histogram_distance",
+    f"""{_SHARES}, ends AS (SELECT DISTINCT image_id, u, v FROM raw, (VALUES (0, 1), (0, 2), (1, 3), (2, 3)) AS t(u, v)),
+d AS (SELECT e.image_id, u, v, bin, sum(CASE WHEN label = u THEN share ELSE -share END) AS d FROM ends e JOIN shares s ON s.image_id = e.image_id AND s.label IN (u, v) GROUP BY ALL)
+SELECT image_id, u, v, round(sum(abs(d)), 6) + 0 AS l1, round(sum(d * d), 6) + 0 AS l2 FROM d GROUP BY ALL""",
+)
 def histogram_distance(spark, sf):
     binned = raster.gradient_bins(pixels(spark, sf)).withColumn("label", quadrant())
     pairs = features.border_pixels(pixels(spark, sf).withColumn("label", quadrant())).select("image_id", "u", "v").distinct()
-    return features.histogram_distance(pairs, features.pool_histogram(binned))
+    return _r(features.histogram_distance(pairs, features.pool_histogram(binned)), "l1", "l2")
 
 
 @register("contours_geojson")

@@ -88,11 +88,10 @@ reach AS (SELECT c.image_id, c.t, s.b1 AS src, s.b1 AS node FROM cuts c JOIN (SE
 bottle AS (SELECT s.image_id, s.b1, s.b2, s.depth, max(r.t) AS bn FROM se s JOIN reach r ON r.image_id = s.image_id AND r.src = s.b1 AND r.node = s.b2 GROUP BY ALL),
 ranked AS (SELECT *, dense_rank() OVER (PARTITION BY image_id ORDER BY bn DESC)::INT AS rank FROM bottle)"""
 )
-#: The clustering's threshold at the default offset.
-CUT = (
+_CUT_AT = (
     RANKS
     + """, placed AS (SELECT image_id, depth, row_number() OVER (PARTITION BY image_id ORDER BY depth DESC) - 1 AS i, count(*) OVER (PARTITION BY image_id) AS n FROM se),
-theta AS (SELECT image_id, depth AS theta FROM placed WHERE i = least(floor(n * 0.75::DOUBLE)::BIGINT, n - 1)),
+theta AS (SELECT image_id, depth AS theta FROM placed WHERE i = least(floor(n * OFFSET::DOUBLE)::BIGINT, n - 1)),
 steps AS (SELECT r.image_id, rank, sum(depth - theta) AS gone, max(depth - theta) AS w FROM ranked r JOIN theta USING (image_id) GROUP BY ALL),
 curve AS (SELECT image_id, rank, w, total - sum(gone) OVER (PARTITION BY image_id ORDER BY rank) AS energy
   FROM (SELECT image_id, rank, gone, w FROM steps UNION ALL SELECT image_id, 0, 0, NULL FROM steps GROUP BY image_id)
@@ -102,15 +101,43 @@ befores AS (SELECT *, coalesce(lag(w) OVER o, first_w + 1000) AS before FROM cur
 lowest AS (SELECT image_id, energy, CASE WHEN rank = 0 THEN first_w + 1000 ELSE (w + before) / 2 END AS cut
   FROM befores QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY energy, rank) = 1)"""
 )
-#: The final label of every pixel: the least basin that kept super-edges reach; lone basins are their own.
-FINAL = (
-    CUT
+_FINAL_AT = (
+    _CUT_AT
     + """, kept AS (SELECT d.image_id, d.a, d.b FROM dirs d JOIN theta t ON t.image_id = d.image_id JOIN lowest l ON l.image_id = d.image_id WHERE d.depth - t.theta >= l.cut),
 flow AS (SELECT image_id, basin AS src, basin AS node FROM basins UNION SELECT f.image_id, f.src, k.b FROM flow f JOIN kept k ON k.image_id = f.image_id AND k.a = f.node),
 comps AS (SELECT image_id, src AS basin, min(node) AS comp FROM flow GROUP BY image_id, src),
 final AS (SELECT l.image_id, l.v, c.comp FROM lab l JOIN comps c ON c.image_id = l.image_id AND c.basin = l.label)"""
 )
 
+def cut_sql(offset: float = 0.75) -> str:
+    """CTEs to `lowest`, the clustering's threshold at an offset."""
+    return _CUT_AT.replace("OFFSET", str(offset))
+
+
+def final_sql(offset: float = 0.75) -> str:
+    """CTEs to `final`, every pixel's final label: the least basin that kept super-edges reach; lone basins are their own."""
+    return _FINAL_AT.replace("OFFSET", str(offset))
+
+
+CUT, FINAL = cut_sql(), final_sql()
+
+
+def merges_sql(edges: str = "e") -> str:
+    """CTEs from a table of edges of 64 vertices on: the merges of its maximum spanning forest in order, with pair
+    counts by quadrant. The labels of all vertices are carried from edge to edge."""
+    return f"""ord AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY w DESC, u, v) AS i FROM {edges}),
+kr AS (SELECT DISTINCT image_id, 0::BIGINT AS i, range(0, 64) AS lab FROM {edges}
+  UNION ALL SELECT k.image_id, o.i, list_transform(k.lab, lambda x: CASE WHEN x = k.lab[o.v + 1] THEN k.lab[o.u + 1] ELSE x END) FROM kr k JOIN ord o ON o.image_id = k.image_id AND o.i = k.i + 1),
+made AS (SELECT o.image_id, o.u, o.v, o.w, row_number() OVER (PARTITION BY o.image_id ORDER BY o.i)::INT AS step,
+    list_filter(range(0, 64), lambda j: k.lab[j + 1] = k.lab[o.u + 1]) AS us, list_filter(range(0, 64), lambda j: k.lab[j + 1] = k.lab[o.v + 1]) AS vs
+  FROM ord o JOIN kr k ON k.image_id = o.image_id AND k.i = o.i - 1 WHERE k.lab[o.u + 1] <> k.lab[o.v + 1]),
+pairs_of AS (SELECT *, list_sum(list_transform(range(0, 4), lambda q: len(list_filter(us, lambda j: 2 * (j // 32) + (j % 8) // 4 = q)) * len(list_filter(vs, lambda j: 2 * (j // 32) + (j % 8) // 4 = q))))::BIGINT AS same FROM made),
+merges AS (SELECT image_id, step, u::BIGINT AS u, v::BIGINT AS v, w, same, (len(us) * len(vs) - same)::BIGINT AS diff FROM pairs_of)"""
+
+
+#: Needs WITH RECURSIVE.
+MERGES = f"{EDGES}, {merges_sql()}"
+
 
 def rand_sql(rows: str, keys: str = "image_id", seg: str = "seg", gt: str = "gt") -> str:
     """CTEs that end in `rand` with the Rand error by keys of the rows."""

@@ -42,3 +42,60 @@ def test_assignment_is_optimal(spark):
     rows = spark.createDataFrame([(0, r, c, float(cost[r, c])) for r in range(3) for c in range(3)], "image_id long, row long, col long, cost double")
     best = min(sum(cost[i, p[i]] for i in range(3)) for p in itertools.permutations(range(3)))
     assert sum(r.cost for r in learn.assignment(rows, ["image_id"]).collect()) == best
+
+
+def test_windows_bands_and_strips(tmp_path):
+    import struct
+
+    import numpy as np
+
+    from basinflow.sources import formats
+
+    image = np.arange(7 * 5).reshape(7, 5).astype(float)
+    data = formats.encode_tiff(image)
+    assert formats.decode_tiff(data, (1, 2, 4, 9))[0, :, :, 0].tolist() == image[2:7, 1:4].tolist()
+    # The same in strips of two rows.
+    raw = image.astype("<f4")
+    strips = [raw[i : i + 2].tobytes() for i in range(0, 7, 2)]
+    body, offsets = b"".join(strips), np.cumsum([8, *map(len, strips)])[:-1]
+    lists = struct.pack("<4I", *offsets) + struct.pack("<4I", *map(len, strips))
+    at = 8 + len(body)
+    tags = [(256, 4, 1, 5), (257, 4, 1, 7), (258, 3, 1, 32), (259, 3, 1, 1), (273, 4, 4, at), (277, 3, 1, 1), (278, 4, 1, 2), (279, 4, 4, at + 16), (339, 3, 1, 3)]
+    table = struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", *t) for t in tags) + struct.pack("<I", 0)
+    striped = struct.pack("<2sHI", b"II", 42, at + 32) + body + lists + table
+    for window in (None, (0, 3, 5, 4), (2, 1, 3, 7), (9, 9, 12, 12)):
+        x0, y0, x1, y1 = window or (0, 0, 5, 7)
+        assert formats.decode_tiff(striped, window)[0, :, :, 0].tolist() == image[y0:y1, x0:x1].tolist()
+
+
+def test_fits_and_pairs(spark, tmp_path):
+    import numpy as np
+
+    from basinflow.sources import formats
+
+    for shape in ((3, 4), (2, 3, 4)):
+        values = np.arange(np.prod(shape)).reshape(shape).astype(float)
+        assert formats.decode_fits(formats.encode_fits(values)).tolist() == values.reshape(-1, 3, 4).tolist()
+    (tmp_path / "a.fits").write_bytes(formats.encode_fits(np.arange(12.0).reshape(3, 4)))
+    rows = formats.read_fits(spark, str(tmp_path))
+    assert sorted((r.y, r.x, r.value) for r in rows.collect()) == [(i // 4, i % 4, float(i)) for i in range(12)]
+    listing = spark.createDataFrame([(7, rows.first().path, "truth", "train"), (8, "none", "truth", "test")], "index int, image string, labels string, part string")
+    truth = rows.selectExpr("'truth' as path", "x", "y", "value * 0 + 5 as value")
+    assert {(r["index"], r.label) for r in formats.batch(rows, truth, listing, "train").collect()} == {(7, 5)}
+    labelled = formats.image_with_labels(rows.selectExpr("1L as image_id", "x", "y", "value"), truth.filter("x < 2").selectExpr("1L as image_id", "x", "y", "value"))
+    assert labelled.count() == 6 and labelled.select("label").distinct().count() == 1
+
+
+def test_graphml_round_trip(spark, tmp_path):
+    from basinflow.sources import formats
+
+    v = spark.createDataFrame([(1, 0, 2.5, 1.0), (1, 1, None, 2.0), (2, 0, 0.5, 3.0)], "image_id long, v long, x double, label double")
+    e = spark.createDataFrame([(1, 0, 1, -0.25)], "image_id long, u long, v long, weight double")
+    formats.write_graphml(v, e, str(tmp_path / "g"))
+    nodes, edges = formats.read_graphml(spark, str(tmp_path / "g"))
+    assert sorted((r.image_id, r.v, tuple(sorted(r.data.items()))) for r in nodes.collect()) == [(1, 0, (("label", 1.0), ("x", 2.5))), (1, 1, (("label", 2.0),)), (2, 0, (("label", 3.0), ("x", 0.5)))]
+    assert [(r.image_id, r.u, r.v, r.data) for r in edges.collect()] == [(1, 0, 1, {"weight": -0.25})]
+    import xml.etree.ElementTree as tree
+
+    text = next((tmp_path / "g" / "image_id=1").glob("part-*")).read_text()
+    assert tree.fromstring(text).tag.endswith("graphml")
