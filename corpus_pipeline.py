@@ -12,7 +12,8 @@ from basinflow.llm.common import WORD, blank_if_null, read, stage_table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that the classifier takes for quality 1; rows that share an id stay if one of them does."""
+    """Keeps the documents that the classifier takes for quality 1; rows that share an id stay if one of
+    them does. Empty texts are scored as any other; an empty table stays empty."""
     scored = quality.score(docs, read(spark, sf_dir, "labels"))
     bad = scored.groupBy("doc_id").agg(F.max("predicted").alias("_best")).filter("_best = 0").select(F.col("doc_id").alias("_id"))
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]), "left_anti")
@@ -22,25 +23,28 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group that five-word shingles link at 0.8 the smallest doc_id stays, once.
 
     Documents without words link with nothing and stay. Rows without an id can't be named by a
-    group and stay too.
+    group and stay too. Of rows that repeat an id the one of the least text stays; an empty table
+    stays empty.
     """
     groups = jaccard_join.join(docs, k=5, percent=80)
     dropped = groups.filter("component_id < doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(dropped, docs["doc_id"] == dropped["_id"], "left_anti")
+    kept = docs.filter("doc_id is not null").join(dropped, docs["doc_id"] == dropped["_id"], "left_anti")
     # Rows that repeat a doc_id are one document.
     nth = F.row_number().over(W.partitionBy("doc_id").orderBy("text"))
-    return kept.withColumn("_nth", nth).filter("_nth = 1 or doc_id is null").drop("_nth")
+    return kept.withColumn("_nth", nth).filter("_nth = 1").drop("_nth").unionByName(docs.filter("doc_id is null"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind; every document stays."""
+    """Personal data is replaced by its kind; every document stays, repeated rows, null and empty texts too."""
     return pii.redact(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document is repeated 0 to 2 times, so that each source emits the words the mix takes of it.
 
-    Rows of one id, source and size are alike for the mix: their copies are dealt among them.
+    Rows of one id, source and size are alike for the mix: their copies are dealt among them, least
+    hash of the text first. Documents without words add nothing to a mix of words and are left out;
+    an empty table stays empty.
     """
     key = {
         "_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
