@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import components, dropped, written
-from .watershed import IMAGE, best_edge
+from .watershed import IMAGE, best_edge, follow
 
 
 class Sets:
@@ -107,20 +107,23 @@ def boruvka(edges: DataFrame) -> DataFrame:
     """The maximum spanning forest by rounds of joins, for graphs of any size.
 
     Each round every component takes its best edge out of it, and components that these edges
-    tie together become one. With a total order of the edges this is the forest of merges().
+    tie together become one: in a total order of the edges best edges only lead to better ones, so
+    following them finds what they tie. Then between two components the best edge alone is kept.
+    This is the forest of merges().
     """
-    alive = written(edges.select(IMAGE, "u", "v", "w", F.col("u").alias("cu"), F.col("v").alias("cv")))
+    alive = written(edges.filter("u != v").select(IMAGE, "u", "v", "w", F.col("u").alias("cu"), F.col("v").alias("cv")))
     rounds: list[DataFrame] = []
     order = F.struct("w", (-F.col("u")).alias("nu"), (-F.col("v")).alias("nv"), "cu", "cv")
     while not alive.isEmpty():
         ends = F.explode(F.array("cu", "cv")).alias("c")
         best = alive.select("*", ends).groupBy(IMAGE, "c").agg(F.max(order).alias("b"))
-        best = written(best.select(IMAGE, (-F.col("b.nu")).alias("u"), (-F.col("b.nv")).alias("v"), "b.w", "b.cu", "b.cv").distinct())
+        to = F.when(F.col("c") == F.col("b.cu"), F.col("b.cv")).otherwise(F.col("b.cu"))
+        best = written(best.select(IMAGE, F.col("c").alias("n"), to.alias("to"), (-F.col("b.nu")).alias("u"), (-F.col("b.nv")).alias("v"), "b.w"))
         rounds.append(best)
-        comps = components(best.select(IMAGE, F.col("cu").alias("u"), F.col("cv").alias("v")))
+        comps = follow(best.drop("w"))
         after = alive
         for side in ("cu", "cv"):
-            after = after.join(comps.select(IMAGE, F.col("v").alias(side), F.col("comp").alias(f"_{side}")), [IMAGE, side])
+            after = after.join(comps.select(IMAGE, F.col("n").alias(side), F.col("root").alias(f"_{side}")), [IMAGE, side])
         # Of several edges between two components only the first of the order can be a best one again.
         after = after.filter("_cu != _cv").groupBy(IMAGE, F.least("_cu", "_cv").alias("cu"), F.greatest("_cu", "_cv").alias("cv")).agg(F.max(F.struct("w", (-F.col("u")).alias("nu"), (-F.col("v")).alias("nv"))).alias("b"))
         after = written(after.select(IMAGE, (-F.col("b.nu")).alias("u"), (-F.col("b.nv")).alias("v"), "b.w", "cu", "cv"))
@@ -203,10 +206,11 @@ def min_energy_threshold(curve: DataFrame, include: bool = False) -> DataFrame:
     return at.select(IMAGE, F.col("b.energy").alias("energy"), F.when(F.col("b.rank") == 0, F.col("b._first") + 1000.0).otherwise(cut).alias("threshold"))
 
 
-def cut_labels(edges: DataFrame, threshold: DataFrame, vertices: DataFrame) -> DataFrame:
-    """image_id, v, comp: components of the edges with w >= threshold. threshold: image_id, threshold."""
+def cut_labels(edges: DataFrame, threshold: DataFrame, vertices: DataFrame, by_image: bool = False) -> DataFrame:
+    """image_id, v, comp: components of the edges with w >= threshold. threshold: image_id, threshold;
+    by_image as for components()."""
     kept = edges.join(threshold.select(IMAGE, "threshold"), IMAGE).filter(F.col("w") >= F.col("threshold"))
-    return components(kept, vertices)
+    return components(kept, vertices, by_image)
 
 
 @dataclass(frozen=True)

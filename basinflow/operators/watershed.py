@@ -89,22 +89,22 @@ def best_forest(edges: DataFrame) -> DataFrame:
     return best_edge(edges).select(IMAGE, "u", "v", "w").distinct()
 
 
-def basin_roots(edges: DataFrame, rounds: int | None = None) -> DataFrame:
-    """image_id, n, root: the mutual best edge's smaller end that following best edges leads to.
+def follow(hop: DataFrame, rounds: int | None = None) -> DataFrame:
+    """image_id, n, root of best neighbours (image_id, n, to, u, v, the edge): where they lead. Of two
+    that lead to each other by one edge the smaller is the root.
 
-    Pointer jumping doubles the distance each round, until nothing changes; with `rounds`, 2^rounds
-    steps are taken in one plan without any action.
+    Pointer jumping takes four times the distance each round, until nothing changes; with `rounds`,
+    4^rounds steps are taken in one plan without any action.
     """
-    best = best_edge(edges)
-    other = F.when(F.col("n") == F.col("u"), F.col("v")).otherwise(F.col("u"))
-    hop = best.select(IMAGE, "n", other.alias("_to"), "u", "v")
-    back = hop.select(IMAGE, F.col("n").alias("_to"), F.col("u").alias("_u"), F.col("v").alias("_v"))
+    back = hop.select(IMAGE, F.col("n").alias("to"), F.col("u").alias("_u"), F.col("v").alias("_v"))
     mutual = (F.col("u") == F.col("_u")) & (F.col("v") == F.col("_v"))
-    start = hop.join(back, [IMAGE, "_to"]).select(IMAGE, "n", F.when(mutual, F.least("n", "_to")).otherwise(F.col("_to")).alias("root"))
+    start = hop.join(back, [IMAGE, "to"]).select(IMAGE, "n", F.when(mutual, F.least("n", "to")).otherwise(F.col("to")).alias("root"))
     at, done = written(start), 0
     while rounds is None or done < rounds:
         jump = at.select(IMAGE, F.col("n").alias("root"), F.col("root").alias("_next"))
-        after = at.join(jump, [IMAGE, "root"]).select(IMAGE, "n", F.col("_next").alias("root"), F.col("root").alias("_old"))
+        after = at.withColumn("_old", F.col("root"))
+        for _ in range(2):
+            after = after.join(jump, [IMAGE, "root"]).select(IMAGE, "n", F.col("_next").alias("root"), "_old")
         if rounds is None:
             after = written(after)
             dropped(at)
@@ -114,6 +114,12 @@ def basin_roots(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     return at
 
 
+def basin_roots(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """image_id, n, root: the mutual best edge's smaller end that following best edges leads to (see follow)."""
+    other = F.when(F.col("n") == F.col("u"), F.col("v")).otherwise(F.col("u"))
+    return follow(best_edge(edges).select(IMAGE, "n", other.alias("to"), "u", "v"), rounds)
+
+
 def basins(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """image_id, root, basin, weight: basins numbered from 1 in the order of their first edges,
     whose weight is the basin's."""
@@ -146,7 +152,12 @@ def super_edges(edges: DataFrame, labels: DataFrame, found: DataFrame, waterfall
 
 def waterfall_level(edges: DataFrame, labels: DataFrame, found: DataFrame) -> DataFrame:
     """The next level: basins of the region graph, image_id, basin, label; lone basins keep 1."""
-    regions = written(super_edges(edges, labels, found, waterfall=True).select(IMAGE, F.col("b1").alias("u"), F.col("b2").alias("v"), F.col("depth").alias("w")))
+    return waterfall_of(super_edges(edges, labels, found, waterfall=True), found)
+
+
+def waterfall_of(supers: DataFrame, found: DataFrame) -> DataFrame:
+    """The same from super-edges with their own weights."""
+    regions = written(supers.select(IMAGE, F.col("b1").alias("u"), F.col("b2").alias("v"), F.col("depth").alias("w")))
     up, _ = watershed(regions)
     return found.join(up.withColumnRenamed("v", "basin"), [IMAGE, "basin"], "left").select(IMAGE, "basin", F.coalesce("label", F.lit(1)).alias("label"))
 
@@ -162,3 +173,76 @@ def label_image(labels: DataFrame, width: int, add: int = 1) -> DataFrame:
     """image_id, x, y, value: labels of vertices (basins, markers, clusters) as a raster, raised by `add`
     so that 0 is free for none."""
     return labels.select(IMAGE, (F.col("v") % width).cast("int").alias("x"), F.floor(F.col("v") / width).cast("int").alias("y"), (F.col("label") + add).cast("long").alias("value"))
+
+
+def compact_basins(compact: DataFrame, width: int, kind: str = "mean", values: str = "values", pixels: int = 1 << 14) -> DataFrame:
+    """image_id, values, labels, weights: the watershed of compact rasters in one projection, without a
+    shuffle. labels holds each pixel's basin from 1, weights each basin's.
+
+    For images of up to `pixels` pixels, which a row holds anyway: pointers are followed by array
+    index, and a pixel looks its basin's number up among the image's basins. Larger images go by
+    their edges (watershed).
+    """
+    from .graph import affinity
+
+    rounds = max(1, (pixels - 1).bit_length())
+    once = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    a = F.col(values)
+    n = F.size(a)
+
+    def edge(ok: Column, u: Column, v: Column, other: Column) -> Column:
+        w = affinity(F.get(a, u).cast("double"), F.get(a, v).cast("double"), kind)
+        return F.when(ok, F.struct(w.alias("w"), (-u).alias("nu"), (-v).alias("nv"), other.alias("to")))
+
+    def first(i: Column) -> Column:
+        return F.array_max(
+            F.array(
+                edge(((i + 1) % width != 0) & (i + 1 < n), i, i + 1, i + 1),
+                edge(i % width != 0, i - 1, i, i - 1),
+                edge(i + width < n, i, i + width, i + width),
+                edge(i >= width, i - width, i, i - width),
+            )
+        )
+
+    def roots(best: Column) -> Column:
+        to = lambda i: F.get(best, i)["to"]
+        at = F.transform(best, lambda x, i: F.when((to(x["to"]) == i) & (i < x["to"]), i).otherwise(x["to"]))
+        for _ in range(rounds):
+            at = once(at, lambda p: F.transform(p, lambda x: F.get(p, x)))
+        return once(at, lambda p: numbered(best, p))
+
+    def numbered(best: Column, at: Column) -> Column:
+        own = F.filter(F.transform(at, lambda r, i: F.when(r == i, F.struct((-F.get(best, i)["w"]).alias("o"), (-F.get(best, i)["nu"]).alias("u"), (-F.get(best, i)["nv"]).alias("v"), i.alias("root")))), lambda x: x.isNotNull())
+
+        def labelled(order: Column) -> Column:
+            names = F.transform(order, lambda x: x["root"])
+            labels = once(names, lambda k: F.transform(at, lambda r: F.array_position(k, r).cast("int")))
+            return F.struct(labels.alias("labels"), F.transform(order, lambda x: -x["o"]).alias("weights"))
+
+        return once(F.array_sort(own), labelled)
+
+    found = once(F.transform(F.sequence(F.lit(0), n - 1), first), roots)
+    rows = compact.filter(n > 1).select(IMAGE, a.alias("values"), found.alias("_f"))
+    return rows.select(IMAGE, "values", "_f.labels", "_f.weights")
+
+
+def compact_watershed(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """labels and basins, as watershed() gives them, of compact_basins()."""
+    labels = found.select(IMAGE, F.posexplode("labels").alias("v", "label"))
+    return labels, found.select(IMAGE, F.posexplode("weights").alias("_i", "weight")).select(IMAGE, (F.col("_i") + 1).alias("basin"), "weight")
+
+
+def compact_super_edges(found: DataFrame, width: int, kind: str = "mean", waterfall: bool = False) -> DataFrame:
+    """super_edges() of compact_basins(): ends look their basins up by index, so there is one shuffle."""
+    from .graph import affinity
+
+    rows = found.select("*", F.posexplode("values").alias("u", "_a"))
+    steps = F.array(F.when((F.col("u") + 1) % width != 0, F.lit(1)), F.lit(width))
+    rows = rows.withColumn("_s", F.explode(steps)).withColumn("v", F.col("u") + F.col("_s")).filter("v < size(values)")
+    rows = rows.withColumns({"_la": F.get("labels", F.col("u")), "_lb": F.get("labels", F.col("v"))}).filter("_la != _lb")
+    w = affinity(F.col("_a").cast("double"), F.get("values", F.col("v")).cast("double"), kind)
+    high = F.greatest(F.get("weights", F.col("_la") - 1), F.get("weights", F.col("_lb") - 1))
+    rows = rows.select(IMAGE, "u", "v", w.alias("w"), F.least("_la", "_lb").alias("b1"), F.greatest("_la", "_lb").alias("b2"), high.alias("_h"))
+    best = rows.groupBy(IMAGE, "b1", "b2").agg(F.max(_rank()).alias("_e"), F.max("_h").alias("_h"))
+    depth = F.col("_e.w") if waterfall else F.col("_e.w") - F.col("_h")
+    return best.select(IMAGE, "b1", "b2", depth.alias("depth"), (-F.col("_e.nu")).alias("u"), (-F.col("_e.nv")).alias("v"))

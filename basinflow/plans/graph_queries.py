@@ -199,19 +199,33 @@ def best_forest(spark, sf):
     return watershed.best_forest(edges(spark, sf))
 
 
+def _found(spark, sf) -> DataFrame:
+    """The watershed of each raster, in arrays."""
+    return watershed.compact_basins(compact(spark, sf), 8, pixels=64)
+
+
+def _watershed(spark, sf) -> tuple[DataFrame, DataFrame]:
+    return watershed.compact_watershed(_found(spark, sf))
+
+
 @register("watershed_labels", f"WITH RECURSIVE {BASINS} SELECT image_id, v, label FROM lab")
 def watershed_labels(spark, sf):
-    return watershed.watershed(edges(spark, sf))[0]
+    return _watershed(spark, sf)[0]
 
 
 @register("watershed_basins", f"WITH RECURSIVE {BASINS} SELECT image_id, basin, weight FROM basins")
 def watershed_basins(spark, sf):
-    return watershed.watershed(edges(spark, sf))[1]
+    return _watershed(spark, sf)[1]
+
+
+@register("watershed_by_edges", f"WITH RECURSIVE {BASINS} SELECT image_id, v, label FROM lab")
+def watershed_by_edges(spark, sf):
+    """The same by rounds over edges, as for rasters that no row holds."""
+    return watershed.watershed(edges(spark, sf))[0]
 
 
 def _super(spark, sf, waterfall: bool = False) -> DataFrame:
-    e = edges(spark, sf)
-    return watershed.super_edges(e, *watershed.watershed(e), waterfall)
+    return watershed.compact_super_edges(_found(spark, sf), 8, waterfall=waterfall)
 
 
 def _regions(spark, sf) -> DataFrame:
@@ -235,8 +249,7 @@ named2 AS (SELECT b.image_id, r.root, row_number() OVER (PARTITION BY b.image_id
 SELECT b.image_id, b.basin, coalesce(n.label, 1) AS label FROM basins b LEFT JOIN roots2 r ON r.image_id = b.image_id AND r.n = b.basin LEFT JOIN named2 n ON n.image_id = r.image_id AND n.root = r.root""",
 )
 def waterfall_level2(spark, sf):
-    e = edges(spark, sf)
-    return watershed.waterfall_level(e, *watershed.watershed(e))
+    return watershed.waterfall_of(_super(spark, sf, waterfall=True), _watershed(spark, sf)[1])
 
 
 @register("singleton_forest", f"WITH RECURSIVE {BASINS} SELECT e.image_id, e.u, e.v, e.w, CASE WHEN f.u IS NOT NULL THEN 1.0::DOUBLE WHEN a.label <> b.label THEN -1.0 ELSE e.w END AS mark FROM e LEFT JOIN (SELECT DISTINCT image_id, u, v FROM best) f ON f.image_id = e.image_id AND f.u = e.u AND f.v = e.v JOIN lab a ON a.image_id = e.image_id AND a.v = e.u JOIN lab b ON b.image_id = e.image_id AND b.v = e.v")
@@ -281,13 +294,12 @@ def cc_min_energy_threshold(spark, sf):
 
 def _final(spark, sf) -> DataFrame:
     """image_id, v, comp: the basins' clusters of every pixel."""
-    e = edges(spark, sf)
-    labels, found = watershed.watershed(e)
-    regions = components.written(watershed.super_edges(e, labels, found).select("image_id", F.col("b1").alias("u"), F.col("b2").alias("v"), F.col("depth").alias("w")))
+    labels, found = _watershed(spark, sf)
+    regions = _regions(spark, sf)
     theta = hierarchy.offset_threshold(regions, 0.75)
     low = hierarchy.min_energy_threshold(hierarchy.energy_curve(regions, theta)).join(theta, "image_id")
     shifted = regions.join(theta, "image_id").withColumn("w", F.col("w") - F.col("theta"))
-    comps = hierarchy.cut_labels(shifted, low, found.select("image_id", F.col("basin").alias("v")))
+    comps = hierarchy.cut_labels(shifted, low, found.select("image_id", F.col("basin").alias("v")), by_image=True)
     return labels.join(comps.withColumnRenamed("v", "label"), ["image_id", "label"]).select("image_id", "v", "comp")
 
 
@@ -312,7 +324,7 @@ def scored_edges(spark, sf):
 
 @register("rand_contingency", f"WITH RECURSIVE {BASINS}, rows AS (SELECT l.image_id, l.label AS seg, p.quad AS gt FROM lab l JOIN px p ON p.image_id = l.image_id AND p.p = l.v), {rand_sql('rows')} SELECT * FROM rand")
 def rand_contingency(spark, sf):
-    labels = watershed.watershed(edges(spark, sf))[0].select("image_id", "v", F.col("label").alias("seg"))
+    labels = _watershed(spark, sf)[0].select("image_id", "v", F.col("label").alias("seg"))
     return metrics.rand_contingency(labels.withColumn("gt", quadrant(F.col("v") % 8, F.floor(F.col("v") / 8))), ["image_id"])
 
 
