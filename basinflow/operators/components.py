@@ -115,14 +115,31 @@ def weighted_centroids(labels: DataFrame, confidence: str = "value") -> DataFram
     return labels.groupBy("image_id", "label").agg((F.sum(F.col("x") * F.col(confidence)) / F.nullif(total, F.lit(0.0))).alias("cx"), (F.sum(F.col("y") * F.col(confidence)) / F.nullif(total, F.lit(0.0))).alias("cy"), F.avg(confidence).alias("confidence"))
 
 
-def order_statistic(rows: DataFrame, fraction: float, value: str = "w", descending: bool = False) -> DataFrame:
-    """image_id, threshold: the value at place floor(fraction * n), from 0, clamped; exact."""
+def order_statistic(rows: DataFrame, fraction: float, value: str = "w", descending: bool = False, ranges: int | None = None) -> DataFrame:
+    """image_id, threshold: the value at place floor(fraction * n), from 0, clamped; exact.
+
+    With `ranges` an image's values are counted by about so many ranges first, and only those of the
+    range that holds the place are sorted: for images with more values than one task should sort.
+    """
     from pyspark.sql import Window as W
 
-    order = F.col(value).desc() if descending else F.col(value).asc()
-    placed = rows.select("image_id", F.col(value).alias("_v"), F.row_number().over(W.partitionBy("image_id").orderBy(order)).alias("_i"), F.count(F.lit(1)).over(W.partitionBy("image_id")).alias("_n"))
+    v = F.col(value).cast("double")
+    rows = rows.select("image_id", F.col(value).alias("_v"), (-v if descending else v).alias("_k"))
+    n = rows.groupBy("image_id").agg(F.count(F.lit(1)).alias("_n"))
     at = F.greatest(F.lit(0), F.least(F.floor(fraction * F.col("_n")), F.col("_n") - 1)) + 1
-    return placed.filter(F.col("_i") == at).select("image_id", F.col("_v").alias("threshold"))
+    wanted = n.select("image_id", at.alias("_at"))
+    if ranges:
+        marks = F.approx_percentile("_k", [i / ranges for i in range(1, ranges)], 100 * ranges)
+        rows = rows.join(rows.groupBy("image_id").agg(marks.alias("_marks")), "image_id")
+        rows = rows.withColumn("_range", F.size(F.filter("_marks", lambda m: m < F.col("_k")))).drop("_marks")
+        counts = rows.groupBy("image_id", "_range").agg(F.count(F.lit(1)).alias("_c"))
+        upto = F.sum("_c").over(W.partitionBy("image_id").orderBy("_range").rowsBetween(W.unboundedPreceding, 0))
+        held = counts.withColumn("_upto", upto).join(wanted, "image_id").filter("_at <= _upto and _at > _upto - _c")
+        rows = rows.join(held.select("image_id", "_range", (F.col("_at") - (F.col("_upto") - F.col("_c"))).alias("_at")), ["image_id", "_range"])
+    else:
+        rows = rows.join(wanted, "image_id")
+    placed = rows.withColumn("_i", F.row_number().over(W.partitionBy("image_id").orderBy("_k")))
+    return placed.filter("_i = _at").select("image_id", F.col("_v").alias("threshold"))
 
 
 def relabel_zero(labels: DataFrame, width: int, value: int = 0, split: DataFrame | None = None) -> DataFrame:

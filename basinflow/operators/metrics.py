@@ -167,9 +167,21 @@ def moving_average(series: DataFrame, key: str, order: list[str], value: str, n:
     return series.withColumn("moving", F.avg(value).over(w))
 
 
-def running_best(series: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
-    w = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return series.withColumn("best", F.min(value).over(w))
+def running_best(series: DataFrame, key: str, order: list[str], value: str, ranges: int | None = None) -> DataFrame:
+    """The least value so far. With `ranges`, a key's rows are cut into about so many ranges of the
+    first column of the order, each run through by itself after the least of those before it."""
+    if not ranges:
+        w = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        return series.withColumn("best", F.min(value).over(w))
+    at = F.col(order[0]).cast("double")
+    marks = F.approx_percentile(at, [i / ranges for i in range(1, ranges)], 100 * ranges)
+    rows = series.join(series.groupBy(key).agg(marks.alias("_marks")), key)
+    rows = rows.withColumn("_range", F.size(F.filter("_marks", lambda m: m < at))).drop("_marks")
+    lows = rows.groupBy(key, "_range").agg(F.min(value).alias("_low"))
+    before = F.min("_low").over(W.partitionBy(key).orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    inner = W.partitionBy(key, "_range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    joined = rows.withColumn("_own", F.min(value).over(inner)).join(lows.withColumn("_before", before).drop("_low"), [key, "_range"])
+    return joined.select(*series.columns, F.least("_own", "_before").alias("best"))
 
 
 def mean_std_runs(series: DataFrame, epoch: Column, value: str) -> DataFrame:

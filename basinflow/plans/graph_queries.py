@@ -364,7 +364,14 @@ def supplier_graph(spark, sf):
     return linked.groupBy("u", "v").agg(F.count(F.lit(1)).cast("double").alias("w")).select(F.lit(0).cast("long").alias("image_id"), "u", "v", "w")
 
 
-@register("supplier_tree")
+@register(
+    "supplier_tree",
+    """WITH RECURSIVE pairs AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem), linked AS (SELECT a.l_suppkey AS u, b.l_suppkey AS v FROM pairs a JOIN pairs b ON a.l_partkey = b.l_partkey AND a.l_suppkey < b.l_suppkey),
+g AS (SELECT u, v, count(*)::DOUBLE AS w FROM linked GROUP BY ALL), ord AS (SELECT *, row_number() OVER (ORDER BY w DESC, u, v) AS i FROM g),
+kr AS (SELECT 0::BIGINT AS i, range(0, (SELECT max(v) + 1 FROM g)) AS lab
+  UNION ALL SELECT o.i, list_transform(k.lab, lambda x: CASE WHEN x = k.lab[o.v + 1] THEN k.lab[o.u + 1] ELSE x END) FROM kr k JOIN ord o ON o.i = k.i + 1)
+SELECT 0::BIGINT AS image_id, o.u, o.v, o.w FROM ord o JOIN kr k ON k.i = o.i - 1 WHERE k.lab[o.u + 1] <> k.lab[o.v + 1]""",
+)
 def supplier_tree(spark, sf):
     return hierarchy.boruvka(supplier_graph(spark, sf))
 

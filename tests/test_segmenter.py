@@ -45,6 +45,20 @@ def test_ranged_cut_is_the_plain_one(spark):
         assert error == pytest.approx(wrong(threshold)) == pytest.approx(min(wrong(v) for v, _ in mine))
 
 
+def test_ranged_statistics_are_the_plain_ones(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(k), i, float(v)) for i, (k, v) in enumerate(zip(rng.integers(0, 3, 3000), np.round(rng.normal(size=3000), 1), strict=True))]
+    d = spark.createDataFrame(rows, "image_id long, t long, w double")
+    for fraction in (0.0, 0.3, 0.75, 1.0):
+        for down in (False, True):
+            plain, ranged = ({r.image_id: r.threshold for r in components.order_statistic(d, fraction, descending=down, ranges=n).collect()} for n in (None, 16))
+            for k in range(3):
+                mine = sorted((v for i, _, v in rows if i == k), reverse=down)
+                assert plain[k] == ranged[k] == mine[min(int(fraction * len(mine)), len(mine) - 1)]
+    plain, ranged = (sorted(map(tuple, metrics.running_best(d, "image_id", ["t"], "w", n).collect())) for n in (None, 8))
+    assert plain == ranged
+
+
 def test_linear_learner_follows_its_gradient(scenes):
     edges, truth = scenes
     model, error, steps = segmenter.train_linear(edges, truth, ["a", "b"], rounds=5, rate=1.0)
@@ -128,3 +142,28 @@ def test_contracted_rounds_give_the_forest(spark):
 def test_contrast_labels(spark):
     v = spark.createDataFrame([(0, i) for i in range(4)], "image_id long, v long")
     assert sorted((r.v, r.label) for r in graph.contrast_labels(v, 4).collect()) == [(i, i // 4) for i in range(8)]
+
+
+def test_components_by_image(spark):
+    rng = np.random.default_rng(4)
+    e = spark.createDataFrame([(int(i), int(a), int(b)) for i, a, b in zip(rng.integers(0, 4, 120), rng.integers(0, 40, 120), rng.integers(0, 40, 120), strict=True)], "image_id long, u int, v int")
+    v = spark.createDataFrame([(i, x) for i in range(5) for x in range(42)], "image_id long, v int")
+    one, many = (components.components(e, v, by_image=b) for b in (True, False))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
+    assert one.dtypes == many.dtypes
+
+
+def test_compact_watershed_of_odd_rasters(spark):
+    from basinflow.operators import watershed
+
+    rng = np.random.default_rng(2)
+    rows = [(0, [1.0]), (1, [1.0, 1.0, 1.0]), (2, rng.normal(size=9).tolist()), (3, rng.integers(0, 3, 30).astype(float).tolist())]
+    c = spark.createDataFrame(rows, "image_id long, values array<double>")
+    found = components.written(watershed.compact_basins(c, 3, pixels=64))
+    labels, basins = watershed.compact_watershed(found)
+    edges = components.written(graph.grid_edges_compact(c, 3))
+    want, held = watershed.watershed(edges)
+    assert sorted(map(tuple, labels.collect())) == sorted(map(tuple, want.select("image_id", "v", "label").collect()))
+    assert sorted(map(tuple, basins.collect())) == sorted(map(tuple, held.collect()))
+    for waterfall in (False, True):
+        assert sorted(map(tuple, watershed.compact_super_edges(found, 3, waterfall=waterfall).collect())) == sorted(map(tuple, watershed.super_edges(edges, want, held, waterfall).collect()))
