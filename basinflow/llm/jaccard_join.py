@@ -212,7 +212,7 @@ def linked_groups(ids: list[int], sets: list[np.ndarray], percent: int) -> list[
     return out
 
 
-def join(docs: DataFrame, k: int = 5, percent: int = 80, cell_docs: int = 4096, cell_shingles: int = 1_000_000, block_chars: int | None = None) -> DataFrame:
+def join(docs: DataFrame, k: int = 5, percent: int = 80, cell_docs: int = 1024, cell_shingles: int = 1_000_000, block_chars: int | None = None) -> DataFrame:
     """Groups documents that links reach: sets of k-word shingles whose intersection is at least
     `percent` hundredths of their union.
 
@@ -231,8 +231,11 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, cell_docs: int = 4096,
        tied to the smallest id there, and an id with those tied to it is a star. The order decides
        what is searched, not what links.
     3. A star's sets are searched together (t_occurrences). A star over cell_docs sets or
-       cell_shingles members is cut into chunks and every two chunks are searched in a cell of
-       their own. Cells give each set's least linked id, not its links, and these meet in the end.
+       cell_shingles members is cut into chunks, each searched with the star's centre. What that
+       ties to the centre needs no look at each other; the others of the star, cut into chunks
+       again, meet all its chunks in cells of their own. So a group whose members link with its
+       centre is sent once, and only what doesn't meets the rest. Cells give each set's least
+       linked id, not its links, and these meet in the end.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -303,12 +306,14 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, cell_docs: int = 4096,
     sized = stage_table(stars.join(classes.groupBy(F.col("head").alias("id")).agg(F.max("n").alias("n")), "id"), "join-sized")
     for done in (ties, centres, moved):
         drop_table(done)
-    totals = sized.groupBy("low").agg(F.greatest(F.ceil(F.count(F.lit(1)) / cell_docs), F.ceil(F.sum("n") / cell_shingles)).cast("int").alias("chunks"))
-    chunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
-    cells = sized.join(totals, "low").withColumn("chunk", chunk)
-    other = F.explode(F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: c != F.col("chunk"))))
-    cells = cells.select(F.col("id").alias("node"), "low", "chunk", other.alias("other"))
-    cells = cells.select("node", "low", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"))
+    in_chunks = F.greatest(F.ceil(F.count(F.lit(1)) / cell_docs), F.ceil(F.sum("n") / cell_shingles)).cast("int")
+    totals = sized.groupBy("low").agg(in_chunks.alias("chunks"))
+    placed = sized.join(totals, "low").select(F.col("id").alias("node"), "low", "n", "chunks", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("a"))
+    placed = stage_table(placed, "join-placed")
+    # The centre goes to every chunk of its star.
+    every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    spokes = placed.select("node", "low", "a").union(totals.filter("chunks > 1").select(F.col("low").alias("node"), "low", every.alias("a"))).distinct()
+    cells = spokes.withColumn("b", F.lit(-1))
 
     # The texts of heads in stars are read again, so that sets needn't be kept for all. A bit map
     # of fixed size passes over most other texts; the join that follows is exact. Texts go to the
@@ -329,7 +334,6 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, cell_docs: int = 4096,
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), blank_if_null("text").alias("text"))
     hashed = rows.filter("doc_id is not null").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
     loaded = hashed.mapInArrow(load, "id long, packed binary")
-    dealt = loaded.join(cells, F.col("id") == F.col("node")).select("low", "a", "b", "id", "packed")
 
     def search(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_pylist()
@@ -338,9 +342,31 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, cell_docs: int = 4096,
         low = linked_groups(ids, found, percent)
         return pa.table({"u": pa.array(ids, pa.int64()), "v": pa.array(low, pa.int64())})
 
-    links = dealt.groupBy("low", "a", "b").applyInArrow(search, "u long, v long").filter("u != v").distinct()
+    def searched(cells: DataFrame) -> DataFrame:
+        dealt = loaded.join(cells, F.col("id") == F.col("node")).select("low", "a", "b", "id", "packed")
+        return dealt.groupBy("low", "a", "b").applyInArrow(search, "u long, v long").filter("u != v").distinct()
+
+    links = stage_table(searched(cells), "join-links")
     groups = stage_table(connected_components(links), "join-groups")
-    drop_table(sized)
+    cut = placed.filter("chunks > 1")
+    if not cut.isEmpty():
+        # Members of cut stars that aren't tied to their centre so far.
+        found = groups.select("node", "component")
+        mine = cut.join(found, "node", "left").select("node", "low", "n", "chunks", F.coalesce("component", "node").alias("component"))
+        centre = found.select(F.col("node").alias("low"), F.col("component").alias("main"))
+        others = mine.join(centre, "low", "left").filter("component != coalesce(main, low)").select("node", "low", "n", "chunks")
+        others = stage_table(others, "join-others")
+        parts = others.groupBy("low").agg(in_chunks.alias("parts"))
+        others = others.join(parts, "low").withColumn("b", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int"))
+        meet = others.select("node", "low", every.alias("a"), "b")
+        all_parts = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+        meet = meet.union(cut.join(parts, "low").select("node", "low", "a", all_parts.alias("b"))).distinct()
+        more = stage_table(searched(meet), "join-links")
+        before, groups = groups, stage_table(connected_components(links.union(more)), "join-groups")
+        for done in (others, more, before):
+            drop_table(done)
+    for done in (sized, placed, links):
+        drop_table(done)
 
     heads = classes.join(groups.select(F.col("node").alias("head"), "component"), "head", "left").select("digest", F.coalesce("component", "head").alias("component"))
     return sets.join(heads, ["digest"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
