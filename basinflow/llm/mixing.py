@@ -14,6 +14,11 @@ PRIMES = (1000000007, 1000000009, 1000000021, 1000000033, 1000000087, 1000000093
 ROUND_SHARDS, PARTS = 4, 1 << 32
 
 
+def identity() -> Column:
+    """What a document is placed by: its id, or without one a digest of its text."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.md5(blank_if_null("text")))
+
+
 def _draw(salt: str, *parts: Column) -> Column:
     """A uniform number below 2^60 that depends on the salt and the parts only."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(salt), *parts)), 1, 15), 16, 10).cast("long")
@@ -44,9 +49,9 @@ def mix(
 
     Returns doc_id, size, source_size, target, taken and source for every row. Null or empty
     texts and texts without words have size 0 and take 0; an empty table gives no rows; rows that
-    repeat a doc_id count each by itself; a null doc_id is placed as any other value.
+    repeat a doc_id count each by itself; rows without an id are placed by their text.
     """
-    return _mixed(docs, weights, share, most, block, shard_docs, seed).drop("shard")
+    return _mixed(docs, weights, share, most, block, shard_docs, seed).drop("shard", "key")
 
 
 def copies(
@@ -66,20 +71,20 @@ def copies(
     copies in the mean, and the words emitted there differ from those taken by less than the
     largest document has.
 
-    Returns doc_id, size, target, taken, source and copies for every row, as `mix` does; documents
-    of size 0 have 0 copies.
+    Returns doc_id, key (see identity), size, target, taken, source and copies for every row, as
+    `mix` does; documents of size 0 have 0 copies.
     """
     mixed = _mixed(docs, weights, share, most, block, shard_docs, seed)
     mixed = mixed.withColumn("part", F.floor(F.col("shard") / ROUND_SHARDS)).withColumn("whole", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(0)))
     rest = F.col("taken") - F.col("whole") * F.col("size")
     mixed = mixed.withColumn("rest", F.when(F.col("size") > 0, F.floor(rest * F.lit(PARTS) / F.col("size"))).otherwise(F.lit(0)).cast("long"))
-    drawn = _draw(f"{seed}:round", F.col("doc_id").cast("string"))
+    drawn = _draw(f"{seed}:round", F.col("key"))
     order = W.partitionBy("source", "part").orderBy("size", drawn, "doc_id", "taken")
     start = F.pmod(_draw(f"{seed}:start", F.coalesce(F.concat(F.lit("0"), F.col("source")), F.lit("1")), F.col("part").cast("string")), F.lit(PARTS))
     passed = F.sum("rest").over(order.rowsBetween(W.unboundedPreceding, 0)) + start
     mixed = mixed.withColumn("passed", passed)
     more = F.floor(F.col("passed") / PARTS) - F.floor((F.col("passed") - F.col("rest")) / PARTS)
-    return mixed.select("doc_id", "size", "target", "taken", "source", (F.col("whole") + more).cast("int").alias("copies"))
+    return mixed.select("doc_id", "key", "size", "target", "taken", "source", (F.col("whole") + more).cast("int").alias("copies"))
 
 
 def _mixed(docs: DataFrame, weights: tuple[float, ...], share: float, most: int, block: int, shard_docs: int, seed: str) -> DataFrame:
@@ -93,8 +98,9 @@ def _mixed(docs: DataFrame, weights: tuple[float, ...], share: float, most: int,
         "doc_id",
         F.coalesce(F.concat(F.lit("0"), F.col("source")), F.lit("1")).alias("skey"),
         words.alias("size"),
+        identity().alias("key"),
     )
-    rows = rows.withColumn("shard", F.pmod(_draw(f"{seed}:shard", F.col("doc_id").cast("string")), F.greatest(n_shards, F.lit(1))))
+    rows = rows.withColumn("shard", F.pmod(_draw(f"{seed}:shard", F.col("key")), F.greatest(n_shards, F.lit(1))))
     # Ids and sizes only: the texts are read and split once.
     rows = stage_table(rows, "mix-sizes")
 
@@ -103,7 +109,7 @@ def _mixed(docs: DataFrame, weights: tuple[float, ...], share: float, most: int,
     targets = _targets(sources, weights, share, most)
     quotas = _quotas(groups.join(targets, "skey"), most, block)
 
-    order = W.partitionBy("skey", "shard").orderBy(_draw(f"{seed}:order", F.col("doc_id").cast("string")), "doc_id", "size")
+    order = W.partitionBy("skey", "shard").orderBy(_draw(f"{seed}:order", F.col("key")), "doc_id", "size")
     placed = rows.withColumn("stop", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)))
     return _taken(placed.join(quotas, ["skey", "shard"]), block, seed)
 
@@ -161,19 +167,19 @@ def _taken(placed: DataFrame, block: int, seed: str) -> DataFrame:
     blocks = F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("stop") - 1) / block))
     once_more = F.aggregate(blocks, F.lit(0).cast("long"), lambda acc, b: acc + words(b))
     taken = F.when(F.col("size") > 0, F.col("whole") * F.col("size") + once_more).otherwise(F.lit(0).cast("long"))
-    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.when(F.col("skey") != "1", F.substring("skey", 2, 1 << 30)).alias("source"), "shard")
+    return placed.select("doc_id", "key", "size", "source_size", "target", taken.alias("taken"), F.when(F.col("skey") != "1", F.substring("skey", 2, 1 << 30)).alias("source"), "shard")
 
 
 #: The same mix in DuckDB, with the default parameters; md5 draws agree on both sides.
 ORACLE = r"""
 WITH docs AS (
-  SELECT doc_id, coalesce('0' || source, '1') AS skey,
+  SELECT doc_id, coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) AS key, coalesce('0' || source, '1') AS skey,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size
   FROM documents),
 total AS (SELECT greatest(1, ceil(count(*) / 512.0)::BIGINT) AS shards FROM docs),
 rows AS (
-  SELECT d.*, ('0x' || substr(md5(concat_ws('|', 'mix:shard', doc_id::VARCHAR)), 1, 15))::BIGINT % shards AS shard,
-         ('0x' || substr(md5(concat_ws('|', 'mix:order', doc_id::VARCHAR)), 1, 15))::BIGINT AS draw
+  SELECT d.*, ('0x' || substr(md5(concat_ws('|', 'mix:shard', key)), 1, 15))::BIGINT % shards AS shard,
+         ('0x' || substr(md5(concat_ws('|', 'mix:order', key)), 1, 15))::BIGINT AS draw
   FROM docs d, total),
 groups AS (SELECT skey, shard, sum(size)::BIGINT AS words FROM rows GROUP BY skey, shard),
 sources AS (SELECT skey, sum(words)::BIGINT AS source_size, 2 * sum(words)::BIGINT AS cap,

@@ -47,11 +47,11 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     an empty table stays empty.
     """
     key = {
-        "_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
+        "_id": mixing.identity(),
         "_source": F.coalesce(F.concat(F.lit("0"), F.col("source")), F.lit("1")),
         "size": F.regexp_count(blank_if_null("text"), F.lit(WORD)).cast("long"),
     }
-    copies = mixing.copies(docs).filter("copies > 0").withColumns({k: key[k] for k in ("_id", "_source")})
+    copies = mixing.copies(docs).filter("copies > 0").withColumns({"_id": F.col("key"), "_source": key["_source"]})
     copies = copies.groupBy(*key).agg(F.array_sort(F.collect_list("copies")).alias("_copies"))
     chosen = docs.withColumns(key).join(copies, list(key))
     nth = F.row_number().over(W.partitionBy(*key).orderBy(F.xxhash64("text")))
