@@ -99,6 +99,23 @@ def test_join_is_that_of_all_pairs(spark, k, percent, cell):
     assert got == {i: (n, c) for i, (c, n) in enumerate(zip(low, sizes, strict=True))}
 
 
+def test_prefixes_of_linked_sets_meet():
+    draw = random.Random(12)
+    for _ in range(20_000):
+        percent = draw.choice([50, 80, 85, 99, 100])
+        members = draw.sample(range(1000), draw.randint(2, 40))
+        cut = draw.randint(1, len(members))
+        extra = draw.randint(0, 4)
+        x, y = set(members[:cut]), set(members[draw.randint(0, 2) :][: cut + extra])
+        if len(x) > len(y):
+            x, y = y, x
+        if not y or 100 * len(x & y) < percent * len(x | y):
+            continue
+        order = lambda m: (m * 7919 % 1009, m)
+        smaller, larger = jaccard_join.prefixes(len(x), percent)[0], jaccard_join.prefixes(len(y), percent)[1]
+        assert set(sorted(x, key=order)[:smaller]) & set(sorted(y, key=order)[:larger])
+
+
 def test_a_null_id_does_not_speak_for_its_twin(spark):
     words = [f"w{i}" for i in range(100)]
     text, near = " ".join(words), " ".join([*words[:-1], "other"])

@@ -38,3 +38,24 @@ def test_sources_emit_the_words_of_their_targets(spark):
     for source, target in targets.items():
         assert emitted.get(source, 0) == pytest.approx(target, rel=0.04, abs=500), source
     assert out.groupBy("text").count().agg({"count": "max"}).first()[0] == 2
+
+
+def test_emitted_words_of_the_small_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    targets = {r.source: r.target for r in mixing.mix(docs).select("source", "target").distinct().collect()}
+    out = corpus_pipeline.mixing_stage(spark, docs, SF).selectExpr("source", r"size(regexp_extract_all(text, '[^ \\t-\\r]+', 0)) as n")
+    emitted = {r.source: r.n for r in out.groupBy("source").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()}
+    longest = {r.source: r.n for r in out.groupBy("source").agg({"n": "max"}).withColumnRenamed("max(n)", "n").collect()}
+    for source, target in targets.items():
+        # Of 50 documents a source, one may be longer than a hundredth of the words.
+        assert abs(emitted.get(source, 0) - target) <= 0.03 * target + longest.get(source, 0), source
+    total = sum(targets.values())
+    assert sum(emitted.values()) == pytest.approx(total, rel=0.03)
+
+
+def test_near_duplicates_of_null_ids_stay(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    docs = spark.createDataFrame([(1, text, 1), (2, text + " x", 1), (2, text + " x", 1), (None, text, 1), (None, text, 1), (4, None, 1), (5, "", 1)], "doc_id long, text string, n int")
+    out = corpus_pipeline.near_duplicate_stage(spark, docs, SF)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id or 0) for r in out.collect()) == [0, 0, 1, 4, 5]
