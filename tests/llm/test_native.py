@@ -142,3 +142,20 @@ def test_mix_meets_its_targets(spark):
     assert ((by.taken - by.target).abs() < 0.03 * by.target + 200).all()
     again = mixing.mix(frame(spark, rows[::-1], ", source string")).toPandas()
     assert dict(zip(found.doc_id, found.taken, strict=True)) == dict(zip(again.doc_id, again.taken, strict=True))
+
+
+def test_likenesses_are_those_of_the_fingerprints(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = winnowing.compare(docs).orderBy("doc_id", ascending=False).collect()
+    hashes = lambda fp: {x.split(":")[1] for x in fp.split(",") if x}
+
+    def like(a, b):
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r, after in zip(rows, rows[1:] + rows[:1], strict=True):
+        text, following = texts[r.doc_id], texts[after.doc_id]
+        half = len(text) // 2
+        assert r.edited_sha256 == hashlib.sha256((text[: len(text) - half] + following[:half]).encode()).hexdigest()
+        assert r.near_edited == pytest.approx(like(hashes(r.fingerprint), hashes(r.edited_fingerprint)))
+        assert r.near_next == pytest.approx(like(hashes(r.fingerprint), hashes(after.fingerprint)))
