@@ -149,7 +149,8 @@ scored AS (
   SELECT doc_id, ln(CASE WHEN c3 > 0 THEN c3 / c00::DOUBLE
     ELSE (CASE WHEN u IS NULL THEN 1.0::DOUBLE ELSE 0.4::DOUBLE END) * (CASE WHEN c2 > 0 THEN c2 / c0::DOUBLE
     ELSE (CASE WHEN v IS NULL THEN 1.0::DOUBLE ELSE 0.4::DOUBLE END) * (CASE WHEN c1 > 0 THEN c1 / rest::DOUBLE ELSE 0.4::DOUBLE / (rest + 1) END) END) END) AS s
-  FROM counted)
-SELECT doc_id, len(ws)::BIGINT AS n_words, round(coalesce(sum(s), 0), 5) AS log_score, round(coalesce(sum(s), 0) / greatest(len(ws), 1), 7) AS mean_log_score
-FROM docs LEFT JOIN scored USING (doc_id) GROUP BY doc_id, ws
+  FROM counted),
+sums AS (SELECT doc_id, sum(s) AS s FROM scored GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, round(coalesce(s, 0), 5) AS log_score, round(coalesce(s, 0) / greatest(len(ws), 1), 7) AS mean_log_score
+FROM docs LEFT JOIN sums USING (doc_id)
 """
