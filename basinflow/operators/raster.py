@@ -390,3 +390,27 @@ def row_number_split(rows: DataFrame, by: Column, key: str) -> DataFrame:
     """Adds `part`: train or valid, alternating in the order `by` within key."""
     nth = F.row_number().over(W.partitionBy(key).orderBy(by))
     return rows.withColumn("part", F.when(nth % 2 == 1, "train").otherwise("valid"))
+
+
+def quadrant_chips(raster: DataFrame, width: int, height: int, quadrants: Sequence[int] = (0, 1, 2)) -> DataFrame:
+    """The named quarters of each image (0 left top, 1 right top, 2 left bottom, 3 right bottom) as images
+    of their own, numbered image_id * len(quadrants) + place, in the chip's pixels; more columns stay."""
+    w, h, n = width // 2, height // 2, len(quadrants)
+    inside = (F.col("x") < 2 * w) & (F.col("y") < 2 * h)
+    place = F.array_position(F.array(*map(F.lit, quadrants)), (F.floor(F.col("y") / h) * 2 + F.floor(F.col("x") / w)).cast("int")) - 1
+    rows = raster.filter(inside).withColumn("_p", place).filter("_p >= 0")
+    return rows.withColumns({"image_id": F.col("image_id") * n + F.col("_p"), "x": (F.col("x") % w).cast("int"), "y": (F.col("y") % h).cast("int")}).drop("_p")
+
+
+def train_valid_products(raster: DataFrame, width: int, height: int, seed: int, quadrants: Sequence[int] = (0, 1, 2)) -> DataFrame:
+    """Chips of the images in seeded order, alternately for training and validation: `part` is added.
+    Bands are columns of the raster (see stack_bands), so products of 1, 2 or 4 bands are one call."""
+    chips = quadrant_chips(raster, width, height, quadrants)
+    order = chips.select("image_id").distinct().select("image_id", F.xxhash64(F.lit(seed), "image_id").alias("_o"))
+    # Every second chip in order: the place is counted over hash ranges, so no task orders all chips.
+    order = order.withColumn("_r", F.shiftright("_o", 54))
+    counts = order.groupBy("_r").agg(F.count(F.lit(1)).alias("_c"))
+    before = counts.withColumn("_b", F.coalesce(F.sum("_c").over(W.orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_c")
+    nth = F.row_number().over(W.partitionBy("_r").orderBy("_o", "image_id")) + F.col("_b")
+    parts = order.join(before, "_r").select("image_id", F.when(nth % 2 == 1, "train").otherwise("valid").alias("part"))
+    return chips.join(parts, "image_id")

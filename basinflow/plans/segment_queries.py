@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basinflow.operators import components, graph, hierarchy, loss, metrics, raster, segmenter, watershed
+from basinflow.operators import components, descent, features, graph, hierarchy, loss, metrics, raster, segmenter, watershed
 
 from .catalog import register
 from .metric_queries import _BEST_CUT, _COUNTS, _counts, _r
-from .tables import BASINS, BEST, EDGES, MERGES, PX, compact, edges, final_sql, merges_sql, pixels, rand_sql, truth
+from .tables import BASINS, BEST, EDGES, PX, edges, final_sql, merges_sql, pixels, quadrant, rand_sql, table, truth
 
 #: Edges of the features m (mean) and d (minus the difference).
 _FEATURES = f"{EDGES}, f AS (SELECT image_id, u, v, w AS m, -abs(va - vb) AS d FROM e)"
@@ -180,3 +180,29 @@ def resample_cubic(spark, sf):
 def gradient_bank(spark, sf):
     """Eight of the bank's 72 settings, over all images."""
     return raster.gradient_bank(pixels(spark, sf), 8, 8, raster.gradient_bank_settings()[::9])
+
+
+@register("filter_training")
+def filter_training(spark, sf):
+    """A filter that tells quadrant 3 from the pixels around: one row an epoch."""
+    p = pixels(spark, sf)
+    target = p.select("image_id", "x", "y", F.when(quadrant() == 3, 1.0).otherwise(0.0).alias("value"))
+    fit = descent.train_filter(p, target, epochs=20, method="adam")
+    return spark.createDataFrame([(i, e) for i, e in enumerate(fit.errors)], "epoch int, error double")
+
+
+@register("sparse_logistic")
+def sparse_logistic(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_discount", "l_tax", (F.col("l_quantity") / 50).alias("q"), (F.col("l_linestatus") == "O").alias("open"))
+    return descent.sparse_logistic(rows, ["l_discount", "l_tax", "q"], F.col("open"), 0.001, 15).apply(rows).select("l_orderkey", "l_linenumber", F.round("score", 6).alias("score"))
+
+
+@register("quadrant_chips", f"WITH {PX} SELECT (image_id * 3 + quad)::BIGINT AS image_id, x % 4 AS x, y % 4 AS y, value FROM px WHERE quad < 3")
+def quadrant_chips(spark, sf):
+    return raster.quadrant_chips(pixels(spark, sf), 8, 8)
+
+
+@register("pooled_by_name", f"WITH {PX} SELECT image_id, quad AS label, round(avg(value), 6) + 0 AS mean, round(avg(value * value) - avg(value) * avg(value), 6) + 0 AS variance, count(*) AS n FROM px GROUP BY ALL")
+def pooled_by_name(spark, sf):
+    found = features.pool_named(pixels(spark, sf).withColumn("label", quadrant()), "moments")
+    return _r(found["moments"], "mean", "variance")

@@ -167,3 +167,38 @@ def test_compact_watershed_of_odd_rasters(spark):
     assert sorted(map(tuple, basins.collect())) == sorted(map(tuple, held.collect()))
     for waterfall in (False, True):
         assert sorted(map(tuple, watershed.compact_super_edges(found, 3, waterfall=waterfall).collect())) == sorted(map(tuple, watershed.super_edges(edges, want, held, waterfall).collect()))
+
+
+def test_sparse_logistic_meets_its_conditions(spark):
+    from basinflow.operators import descent
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 4))
+    y = (x @ [2.0, -1.0, 0.0, 0.0] + 0.5 + rng.logistic(size=600)) > 0
+    d = spark.createDataFrame([(*map(float, r), bool(t)) for r, t in zip(x, y, strict=True)], "a double, b double, c double, d double, y boolean").coalesce(1).cache()
+    evaluate = descent.logistic_loss_at(d, list("abcd"), F.col("y"))
+    l1 = np.array([0.05] * 4 + [0.0])
+    w, total = descent.owl_qn(evaluate, np.zeros(5), l1, 60, tolerance=1e-6)
+    loss, g = evaluate(w)
+    signs = np.where(y, 1.0, -1.0)
+    z = np.column_stack([x, np.ones(600)])
+    assert loss == pytest.approx(np.log1p(np.exp(-signs * (z @ w))).mean()) and total == pytest.approx(loss + l1 @ np.abs(w))
+    # At the least loss a weight's slope is l1 against its sign, and within l1 where the weight is 0.
+    for wi, gi, li in zip(w, g, l1, strict=True):
+        assert gi == pytest.approx(-li * np.sign(wi), abs=1e-4) if wi else abs(gi) <= li + 1e-6
+    assert (w[2:4] == 0).all() and w[0] > 0 > w[1]
+
+
+def test_filter_learns_what_made_the_targets(spark):
+    from basinflow.operators import descent, raster
+
+    rng = np.random.default_rng(1)
+    rows = [(0, x, y, float(rng.normal())) for x in range(20) for y in range(20)]
+    p = spark.createDataFrame(rows, "image_id long, x int, y int, value double")
+    weights = [0.0, 0.5, 0.0, -0.5, 1.0, 0.25, 0.0, 0.0, 0.1]
+    target = raster.linear_filter(p, weights, 0.3)
+    fit = descent.train_filter(p, target, epochs=2000, method="sgd", rate=0.1)
+    assert np.allclose(fit.weights, weights, atol=1e-3) and fit.bias == pytest.approx(0.3, abs=1e-3)
+    for method in ("adam", "adadelta"):
+        errors = descent.train_filter(p, target, epochs=200, method=method).errors
+        assert errors[-1] < errors[0] == pytest.approx(fit.errors[0])

@@ -99,3 +99,43 @@ def test_graphml_round_trip(spark, tmp_path):
 
     text = next((tmp_path / "g" / "image_id=1").glob("part-*")).read_text()
     assert tree.fromstring(text).tag.endswith("graphml")
+
+
+def test_raster_graph_and_metric_files(spark, tmp_path):
+    r = generators.ramp_square(spark, 8, 2, 4)
+    assert r.filter("value > 0").count() == 16 and r.agg({"value": "max"}).first()[0] == 13.0
+    formats.write_raster(r, f"{tmp_path}/r", ["image_id"])
+    assert spark.read.parquet(f"{tmp_path}/r").count() == 64
+    e = generators.random_graph(spark, 3, whole=True)
+    v = e.selectExpr("image_id", "u as v").distinct()
+    formats.write_graph(v, e, f"{tmp_path}/g")
+    back, edges = formats.read_graph(spark, f"{tmp_path}/g")
+    assert edges.count() == 12 and back.count() == v.count()
+    series = spark.createDataFrame([("a", 1, "loss", 0.5), ("a", 2, "loss", 0.25)], "run string, epoch int, metric string, value double")
+    formats.append_metrics(series, f"{tmp_path}/m")
+    formats.append_metrics(series, f"{tmp_path}/m")
+    assert spark.read.parquet(f"{tmp_path}/m").filter("run = 'a' and metric = 'loss'").count() == 4
+    (tmp_path / "s.txt").write_text("2 3\n1 0.5 1 2\n-1 0 0 1\n")
+    assert [(x.label, x.features) for x in formats.read_samples(spark, f"{tmp_path}/s.txt").collect()] == [(1.0, [0.5, 1.0, 2.0]), (-1.0, [0.0, 0.0, 1.0])]
+    (tmp_path / "l.txt").write_text("+1 1:0.5 3:2\n-1 2:1\n")
+    assert [(x.label, x.features) for x in formats.read_libsvm(spark, f"{tmp_path}/l.txt").collect()] == [(1.0, {1: 0.5, 3: 2.0}), (-1.0, {2: 1.0})]
+
+
+def test_lines_blocks_draws_and_products(spark):
+    from basinflow.operators import raster
+
+    lines = spark.createDataFrame([(0, 0, 0, 3, 3, 1.0), (0, 0, 3, 3, 0, 2.0), (0, 1, 1, 1, 1, 5.0)], "image_id long, x0 int, y0 int, x1 int, y1 int, value double")
+    drawn = {(r.x, r.y): r.value for r in formats.lines_to_raster(lines).collect()}
+    assert drawn == {**{(i, i): 1.0 for i in range(4)}, **{(i, 3 - i): 2.0 for i in range(4)}, (1, 1): 5.0}
+    block = generators.simple_block(spark, 4)
+    assert block.filter("w > 0.5").count() == 4 and block.filter("w < -0.5").count() == 20
+    twisted = generators.twisted_graph(spark, 6)
+    assert twisted.filter("w = 0.001").count() > 0 and twisted.filter("abs(w) < 0.5 and w != 0.001").count() == 0
+    draws = learn.discrete_draw(spark.range(2000), [1.0, 3.0, 0.0], 5).groupBy("draw").count().collect()
+    share = {r.draw: r["count"] / 2000 for r in draws}
+    assert abs(share[0] - 0.25) < 0.05 and abs(share[1] - 0.75) < 0.05 and 2 not in share
+    p = generators._grid(spark, 8, 8, 10).selectExpr("*", "double(x + y) as value")
+    products = raster.train_valid_products(p, 8, 8, 3)
+    parts = {r.part: r.n for r in products.groupBy("part").agg({"image_id": "count"}).withColumnRenamed("count(image_id)", "n").collect()}
+    assert parts == {"train": 15 * 16, "valid": 15 * 16}
+    assert products.groupBy("image_id").agg({"x": "max"}).select("max(x)").distinct().first()[0] == 3
