@@ -9,7 +9,7 @@ from basinflow.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 #: One of each kind; the driver compares all.
-NAMES = ["raster_explode", "minmax_scale", "stack_bands", "sobel", "radius_edges", "rag_from_labels", "binary_cc", "fix_zero_labels", "minmax_cut", "watershed_labels", "super_graph_depth", "waterfall_level2", "mst_boruvka_region", "merge_rank", "cc_min_energy_threshold", "hierarchical_labels", "scored_rand", "rand_exhaustive", "transfer_counts", "stump_threshold", "error_loss", "scatter_last_write", "merge_table", "rand_best_threshold", "feature_gradient", "cut_gradient", "boundary_shape", "histogram_distance", "marker_watershed", "supplier_tree", "model_apply", "batch_report", "gather_cut", "tree_roots", "contrast_labels", "resample_cubic"]
+NAMES = ["raster_explode", "minmax_scale", "stack_bands", "sobel", "radius_edges", "rag_from_labels", "binary_cc", "fix_zero_labels", "minmax_cut", "watershed_labels", "super_graph_depth", "waterfall_level2", "merge_rank", "cc_min_energy_threshold", "hierarchical_labels", "scored_rand", "rand_exhaustive", "transfer_counts", "stump_threshold", "error_loss", "scatter_last_write", "rand_best_threshold", "cut_gradient", "marker_watershed", "gather_cut"]
 
 
 def rows(frame):
