@@ -13,7 +13,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import blank_if_null, small_batches
+from .common import blank_if_null, keeps, make_room, small_batches
 
 
 class Vocabulary:
@@ -265,6 +265,9 @@ def _worker_encoder(packed: bytes, pattern: str) -> Encoder:
     return Encoder(Vocabulary(ranks), pattern)
 
 
+keeps("bpe", _worker_encoder.cache_clear)
+
+
 def pack_ranks(ranks: dict[bytes, int]) -> bytes:
     return b"\n".join(base64.b64encode(b) + b" %d" % i for b, i in ranks.items())
 
@@ -283,6 +286,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: boo
     packed = spark.sparkContext.broadcast(pack_ranks(ranks))  # as large as the vocabulary, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room("bpe")
         encoder = _worker_encoder(packed.value, pattern)
         for batch in batches:
             out = []

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +56,31 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: What operators keep in a Python worker from task to task, by owner: how to drop it.
+_KEPT: dict[str, Callable[[], None]] = {}
+_owner = [""]
+
+
+def keeps(owner: str, drop: Callable[[], None]) -> None:
+    _KEPT[owner] = drop
+
+
+def make_room(owner: str = "") -> None:
+    """At the start of a task in a Python worker: drops what other owners keep in it. Workers are
+    used again by later stages, where the caches of all operators would add up."""
+    if _owner[0] == owner:
+        return
+    _owner[0] = owner
+    for name, drop in _KEPT.items():
+        if name != owner:
+            drop()
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library; it gives memory back by itself, or keeps it
+
+
 def small_batches(spark: SparkSession, mb: int = 8) -> None:
     """Bounds Arrow batches by bytes, so that very long texts can't fill a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))

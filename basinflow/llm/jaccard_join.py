@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import ANSWERED, ASKED, answer, answers_of, ask, block_count, bucket_count, packed_texts, starts_of, texts_of
-from .common import blank_if_null, drop_table, small_batches, stage_table
+from .common import blank_if_null, drop_table, keeps, make_room, small_batches, stage_table
 from .components import connected_components
 
 #: Bits of the map of documents whose texts are needed again: half a megabyte, whatever the input.
@@ -48,6 +48,7 @@ class WordHashes(dict):
 
 
 _WORDS = WordHashes()
+keeps("words", _WORDS.clear)
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -245,6 +246,7 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, cell_docs: int = 1024,
     cut = np.uint64(64 - COUNT_BITS)
 
     def count(table: pa.Table) -> pa.Table:
+        make_room("words")
         every = np.concatenate([*(found >> cut for _, found, _, fresh in _speakers(table, k) if fresh), np.zeros(0, np.uint64)])
         keys, counts = np.unique(every, return_counts=True)
         return ask(table.column("block")[0].as_py(), keys, counts, starts_of(keys, buckets, COUNT_BITS))
@@ -252,6 +254,7 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, cell_docs: int = 1024,
     answered = packed.groupBy("block").applyInArrow(count, ASKED).groupBy("bucket").applyInArrow(answer, ANSWERED)
 
     def speak(_, table: pa.Table, answers: pa.Table) -> pa.Table:
+        make_room("words")
         rows = list(_speakers(table, k))
         keys = np.unique(np.concatenate([*(found >> cut for _, found, _, fresh in rows if fresh), np.zeros(0, np.uint64)]))
         sums = answers_of(((b, s.as_py()) for b, s in zip(answers.column("bucket").to_pylist(), answers.column("sums"), strict=True)), starts_of(keys, buckets, COUNT_BITS))
@@ -336,6 +339,7 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, cell_docs: int = 1024,
     loaded = hashed.mapInArrow(load, "id long, packed binary")
 
     def search(table: pa.Table) -> pa.Table:
+        make_room("words")
         ids = table.column("id").to_pylist()
         unpack = zstandard.ZstdDecompressor()
         found = [shingles(unpack.decompress(x.as_py()).decode(), k) for x in table.column("packed")]

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .blocks import ANSWERED, ASKED, answer, answers_of, ask, block_count, bucket_count, packed_texts, starts_of, texts_of
-from .common import small_batches
+from .common import make_room, small_batches
 from .jaccard_join import mixed, word_hashes
 
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -77,6 +77,7 @@ def score(docs: DataFrame, order: int = 3, alpha: float = 0.4, leave_out: bool =
     rows = packed_texts(docs, blocks)
 
     def count(table: pa.Table) -> pa.Table:
+        make_room("words")
         keys, counts, at, _ = _table(_keys(texts_of(table), order)[0], buckets)
         return ask(table.column("block")[0].as_py(), keys, counts, at)
 
@@ -84,6 +85,7 @@ def score(docs: DataFrame, order: int = 3, alpha: float = 0.4, leave_out: bool =
     answered = asked.groupBy("bucket").applyInArrow(answer, ANSWERED)
 
     def finish(_, texts: pa.Table, answers: pa.Table) -> pa.Table:
+        make_room("words")
         grams, ends = _keys(texts_of(texts), order)
         _, inside, at, where = _table(grams, buckets, places=True)
         sums = answers_of(((b, s.as_py()) for b, s in zip(answers.column("bucket").to_pylist(), answers.column("sums"), strict=True)), at)

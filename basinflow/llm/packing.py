@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .bpe import Encoder, Vocabulary, pack_ranks
-from .common import blank_if_null, small_batches
+from .common import blank_if_null, keeps, make_room, small_batches
 
 
 class FreeRoom:
@@ -93,6 +93,9 @@ def _worker_tokenizer(packed: bytes, pattern: str):
     return ids
 
 
+keeps("packing", _worker_tokenizer.cache_clear)
+
+
 def pack(docs: DataFrame, ranks: dict[bytes, int], pattern: str, length: int = 2048, pad: int | None = None, buffer_tokens: int = 2_000_000) -> DataFrame:
     """Tokenizes every whole text and packs the ids into rows of `length`.
 
@@ -116,6 +119,7 @@ def pack(docs: DataFrame, ranks: dict[bytes, int], pattern: str, length: int = 2
     kind = np.dtype("<u2") if max(max(ranks.values()), fill) < 1 << 16 else np.dtype("<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room("packing")
         tokenize = _worker_tokenizer(packed.value, pattern)
         shard, row = TaskContext.get().partitionId(), 0
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blank_if_null, small_batches, stage_table
+from .common import blank_if_null, make_room, small_batches, stage_table
 
 #: What each statistic measures, in order.
 NAMES = (
@@ -52,6 +52,7 @@ def features(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         for batch in batches:
             values = np.array([statistics(t.as_py()) for t in batch.column(1)], np.float64).reshape(len(batch), len(NAMES))
             offsets = np.arange(len(batch) + 1, dtype=np.int32) * len(NAMES)
