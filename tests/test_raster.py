@@ -71,3 +71,9 @@ def test_gradient_bank_joins_nothing_and_shuffles_once(spark):
         want |= {(i, 0, *at): v for at, v in resampled(smoothed(gradient(smoothed(small))), 4, 4, 8, 8).items()}
         want |= {(i, 1, *at): v for at, v in gradient(p).items()}
     assert {(r.image_id, r.variant, r.x, r.y): r.value for r in out.collect()} == pytest.approx(want)
+
+
+def test_resample_cubic_query_has_no_join_to_broadcast(spark):
+    from basinflow.plans import catalog
+
+    assert "Join" not in plan(catalog.queries()["resample_cubic"](spark, "/root/testdata/sf0.001"))
