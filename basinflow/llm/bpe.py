@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -33,6 +34,7 @@ class Vocabulary:
         for b in sorted(ranks, key=len):
             self.split[ranks[b]] = self._canonical(b)
         self.made = {i for i, s in self.split.items() if s is not None or len(self.bytes_of[i]) == 1}
+        self.id_of = {self.bytes_of[i]: i for i in self.made}
         self.finder = ahocorasick.Automaton()
         for i in self.made:
             self.finder.add_word(self.bytes_of[i].decode("latin-1"), (i, len(self.bytes_of[i])))
@@ -51,6 +53,36 @@ class Vocabulary:
         stands = self.pairs[left << 24 | right] = self._stands(left, right)
         return stands
 
+    def last_token(self, data: bytes, end: int, last: dict[int, int]) -> int:
+        """The last token of a short prefix, longest candidate first; `last` gets it and those it needed.
+
+        Only prefixes that a candidate leaves are worked out. The depth is the length at most."""
+        made, known = self.id_of.get, self.pairs.get
+        for start in range(end):
+            token = made(data[start:end])
+            if token is None:
+                continue
+            if start:
+                left = last.get(start)
+                if left is None:
+                    left = self.last_token(data, start, last)
+                stands = known(left << 24 | token)
+                if not (self.beside(left, token) if stands is None else stands):
+                    continue
+            last[end] = token
+            return token
+        raise ValueError("the vocabulary lacks a single byte")
+
+    def short(self, data: bytes) -> list[int]:
+        """The ids of a piece of few bytes, as those of Piece."""
+        last, out, end = {}, [], len(data)
+        if end:
+            self.last_token(data, end, last)
+        while end:
+            out.append(last[end])
+            end -= len(self.bytes_of[out[-1]])
+        return out[::-1]
+
     def _stands(self, left: int, right: int) -> bool:
         """Undoes the merges of both sides, latest first: the pair falls if at some moment the two
         tokens at the border could have merged before either side's next merge."""
@@ -168,7 +200,7 @@ class Recent:
 class Encoder:
     """Text to ids and back. Caches are bounded by entries and by the length of what they keep."""
 
-    CHUNKS, PIECES, LONG = 600_000, 200_000, 64
+    CHUNKS, PIECES, LONG, SHORT = 600_000, 200_000, 64, 32
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary, self.pattern = vocabulary, regex.compile(pattern)
@@ -180,7 +212,7 @@ class Encoder:
         if ids is None:
             data = text.encode()
             whole = self.vocabulary.ranks.get(data)
-            ids = (whole,) if whole is not None else tuple(Piece(self.vocabulary, data).ids())
+            ids = (whole,) if whole is not None else tuple(self.vocabulary.short(data) if len(data) <= self.SHORT else Piece(self.vocabulary, data).ids())
             if len(text) <= self.LONG:
                 self.pieces.put(text, ids)
         return ids
@@ -291,9 +323,13 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: boo
         for batch in batches:
             out = []
             decimal = encoder.vocabulary.decimal.__getitem__
-            for text in batch.column(1):
-                ids = encoder.encode(text.as_py())
-                out.append((len(ids), hashlib.sha256(",".join(map(decimal, ids)).encode()).hexdigest(), hashlib.sha256(encoder.decode(ids)).hexdigest(), ids))
+            gc.disable()  # it would walk the caches again and again; a batch of bounded size leaves no cycles
+            try:
+                for text in batch.column(1):
+                    ids = encoder.encode(text.as_py())
+                    out.append((len(ids), hashlib.sha256(",".join(map(decimal, ids)).encode()).hexdigest(), hashlib.sha256(encoder.decode(ids)).hexdigest(), ids if with_ids else None))
+            finally:
+                gc.enable()
             n, ids_sha, text_sha, all_ids = zip(*out) if out else ((), (), (), ())
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
